@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spendlens.plans.views_sql import with_views
 
 Job = Callable[[SparkSession, str], DataFrame]
-MODULES = ["performance"]
+MODULES = ["performance", "dashboards"]
 
 
 @dataclass(frozen=True)

@@ -81,6 +81,13 @@ campaigns AS (
     round(CASE WHEN new_users <> 0 THEN spend / new_users END, 2) AS cost_per_new_user
   FROM rated_facts f JOIN ranked_uploads u
     ON u.upload_id = f.client_id * 1000 + (year(f.quarter_start) - 1995) * 4 + quarter(f.quarter_start)),
+funnel_data AS (
+  SELECT * EXCLUDE (spend), round(spend / nullif(leads, 0), 2) AS cost_per_lead,
+    round(spend / nullif(mqls, 0), 2) AS cost_per_mql, round(spend / nullif(customers, 0), 2) AS cost_per_customer
+  FROM (SELECT upload_id, client_id, period_start, period_end, period_label, uploaded_on, period_date, campaign_name,
+          SUM4(new_users + returning_users) AS leads, SUM4(conversions) AS mqls,
+          floor(SUM4(conversions) / 2) AS sqls, floor(SUM4(conversions) / 4) AS customers, SUM4(spend) AS spend
+        FROM campaigns GROUP BY ALL)),
 granular AS (
   SELECT client_id, platform, campaign_name, adgroup_name, keyword_name,
     CAST(sum(spend_units) AS DOUBLE) / 1000 AS spend, CAST(sum(value_units) AS DOUBLE) / 10000 AS conversion_value,
@@ -154,5 +161,5 @@ def with_views(sql: str) -> str:
     """Prefix a statement (optionally opening with further CTEs) with the model's views."""
     body = expand_sums(sql.strip())
     if body.upper().startswith("WITH "):
-        return f"WITH {VIEWS.strip()},\n{body[5:]}"
-    return f"WITH {VIEWS.strip()}\n{body}"
+        return f"WITH {expand_sums(VIEWS.strip())},\n{body[5:]}"
+    return f"WITH {expand_sums(VIEWS.strip())}\n{body}"

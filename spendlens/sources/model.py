@@ -10,14 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.functions.guards import contains_any, count_where, rnd
+from spendlens.functions.guards import count_where, ratio, rnd, total
 from spendlens.operators.metrics import stored_metrics
 
 FIRST_YEAR = 1995
 
 
+# stated schemas spare a footer-reading job per table
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def _upload_id(client: Column, start: Column) -> Column:
@@ -161,6 +181,22 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_metrics(with_upload_columns(facts).drop("quarter_start"))
 
 
+def funnel_data(facts: DataFrame) -> DataFrame:
+    """Stored funnel rows per upload and campaign name, with cost per stage."""
+    visits = total(F.col("new_users") + F.col("returning_users"))
+    converted = total("conversions")
+    spend = total("spend")
+    stages = {"leads": visits, "mqls": converted, "sqls": F.floor(converted / 2).cast("double"),
+              "customers": F.floor(converted / 4).cast("double")}
+    costs = {"cost_per_lead": "leads", "cost_per_mql": "mqls", "cost_per_customer": "customers"}
+    return (
+        facts.groupBy(*UPLOAD_COLUMNS, "campaign_name")
+        .agg(*[value.alias(stage) for stage, value in stages.items()], spend.alias("spend"))
+        .withColumns({name: rnd(ratio("spend", stage, None), 2) for name, stage in costs.items()})
+        .drop("spend")
+    )
+
+
 def granular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-level facts below the campaigns, in the raw export's column names."""
     return lines(spark, sf_dir).groupBy(
