@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -23,14 +26,30 @@ def build_session(master: str | None = None, app: str = "spendlens", **extra: st
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    ``fallback`` is meant for tests; on a cluster the setting has to exist.
+    Only a local session without that setting gets a temporary folder of its own.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if fallback:
-        return fallback.rstrip("/")
-    raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="spendlens-")
+    return _LOCAL["folder"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder and read it back.
+
+    For results that several branches of a query need: they are computed once, later stages
+    do not depend on earlier executors, and every branch reads only the columns it uses.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
