@@ -17,6 +17,7 @@ from spendlens.functions.guards import (
     any_of, contains_any, count_where, first_present, mean, present, ratio, rnd, total, zero_if_null,
 )
 from spendlens.operators import alerts, context
+from spendlens.session import stored
 
 KEYS = ["client_id", "upload_id", "upload_rank", "platform"]
 
@@ -38,11 +39,12 @@ class _Check:
     def when(self, condition: Column, status: str, reason: Column | str, action: Column | str | None = None,
              campaign: Column | None = None, priority: str = "medium") -> "_Check":
         def as_text(value) -> Column:
-            return F.lit(value).cast("string") if value is None or isinstance(value, str) else value
+            if value is None:
+                return F.lit(None).cast("string")
+            return F.lit(value) if isinstance(value, str) else value
 
         self.outcomes.append((condition, F.struct(
-            F.lit(self.name).alias("check_name"), F.lit(self.category).alias("category"), F.lit(status).alias("status"),
-            as_text(reason).alias("reason"), as_text(action).alias("action"),
+            F.lit(status).alias("status"), as_text(reason).alias("reason"), as_text(action).alias("action"),
             as_text(campaign).alias("campaign"), F.lit(priority).alias("priority"),
         )))
         return self
@@ -50,7 +52,8 @@ class _Check:
     def otherwise(self, status: str, reason: Column | str) -> Column:
         self.when(F.lit(True), status, reason)
         first, *rest = self.outcomes
-        return reduce(lambda chain, o: chain.when(*o), rest, F.when(*first))
+        outcome = reduce(lambda chain, o: chain.when(*o), rest, F.when(*first))
+        return F.struct(F.lit(self.name).alias("check_name"), F.lit(self.category).alias("category"), outcome.alias("outcome"))
 
 
 def _flags() -> dict[str, Column]:
@@ -329,15 +332,18 @@ def audit_checks(campaigns: DataFrame, clients: DataFrame, rules: DataFrame) ->
             "roas_goal": first_present("target_roas", "rule_roas"),
         }
     )
+    # measures, examples, group means and CTR trend all read these rows
+    rows = stored(rows)
     flagged = _with_group_means(rows).withColumns(_flags())
     judged = (
         _measures(flagged)
         .join(_named_examples(flagged), KEYS, "left")
-        .join(ctr_trend(campaigns), ["client_id", "platform"], "left")
-    )
-    return judged.select(*KEYS, F.posexplode(F.array(*_checks())).alias("check_order", "found")).select(
-        *KEYS, "check_order", "found.*"
+        .join(ctr_trend(rows), ["client_id", "platform"], "left")
     )
+    # one row per upload and platform from here on: storing it keeps the long check expressions
+    # out of the adaptive re-planning of the aggregations above
+    found = stored(judged).select(*KEYS, F.posexplode(F.array(*_checks())).alias("check_order", "found"))
+    return found.select(*KEYS, "check_order", "found.check_name", "found.category", "found.outcome.*")
 
 
 def audit_scores(checks: DataFrame) -> DataFrame:

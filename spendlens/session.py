@@ -18,9 +18,14 @@ def build_session(master: str | None = None, app: str = "spendlens", **extra: st
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture per column expression costs more than building the plans themselves
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # small stages stay spread over the local cores instead of shrinking to one task
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
