@@ -15,27 +15,30 @@ CAMPAIGN = ["client_id", "platform", "campaign_name"]
 BLOCK = 512  # ranks per window block
 
 
-def rank_uploads(uploads: DataFrame) -> DataFrame:
-    """Number each client's uploads by (period_date, upload_id), oldest first.
+def chunked_rank(df: DataFrame, keys: list[str], chunk: Column, order: list[str], name: str) -> DataFrame:
+    """Row number per key in the given order, computed chunk by chunk.
 
-    Ranking happens per client and year; yearly totals give the offset. A client with
-    most of all uploads is thus spread over as many tasks as it has years.
+    ``chunk`` has to rise with the order. Each chunk is numbered on its own and chunk totals
+    give the offset, so a key that holds most rows is spread over its chunks. Adds
+    ``<name>`` and ``<name>_total``.
     """
-    by_year = uploads.withColumn("period_year", F.year("period_date"))
-    sizes = by_year.groupBy("client_id", "period_year").agg(F.count(F.lit(1)).alias("in_year"))
-    earlier = Window.partitionBy("client_id").orderBy("period_year").rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumn("chunk", chunk)
+    sizes = marked.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("chunk_size"))
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "client_id", "period_year",
-        F.coalesce(F.sum("in_year").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("in_year").over(Window.partitionBy("client_id")).alias("upload_count"),
-    )
-    within = Window.partitionBy("client_id", "period_year").orderBy("period_date", "upload_id")
-    return (
-        by_year.withColumn("upload_rank", F.row_number().over(within))
-        .join(offsets, ["client_id", "period_year"])
-        .withColumn("upload_rank", F.col("upload_rank") + F.col("offset"))
-        .drop("period_year", "offset")
+        *keys, "chunk",
+        F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("chunk_offset"),
+        F.sum("chunk_size").over(Window.partitionBy(*keys)).alias(f"{name}_total"),
     )
+    within = Window.partitionBy(*keys, "chunk").orderBy(*order)
+    numbered = marked.withColumn("in_chunk", F.row_number().over(within)).join(offsets, [*keys, "chunk"])
+    return numbered.withColumn(name, F.col("in_chunk") + F.col("chunk_offset")).drop("chunk", "in_chunk", "chunk_offset")
+
+
+def rank_uploads(uploads: DataFrame, day: str = "period_date") -> DataFrame:
+    """Number each client's uploads by (day, upload_id), oldest first, split by calendar year."""
+    ranked = chunked_rank(uploads, ["client_id"], F.year(day), [day, "upload_id"], "upload_rank")
+    return ranked.withColumnRenamed("upload_rank_total", "upload_count")
 
 
 def attach_ranks(campaigns: DataFrame, uploads: DataFrame) -> DataFrame:
