@@ -43,10 +43,9 @@ def new_action_items(actions: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def action_list(actions: DataFrame) -> DataFrame:
-    """Action items by priority, oldest first, numbered per client."""
-    order = [alerts.severity_rank(F.col("priority")), "created_on", "text_hash"]
-    spec = Window.partitionBy("client_id").orderBy(*order)
-    return actions.withColumn("position", F.row_number().over(spec))
+    """Action items per client by priority, oldest first (a distributed sort)."""
+    placed = actions.withColumn("priority_order", alerts.severity_rank(F.col("priority")))
+    return placed.orderBy("client_id", "priority_order", "created_on", "text_hash")
 
 
 def without_uploads(rows: DataFrame, tombstones: DataFrame) -> DataFrame:

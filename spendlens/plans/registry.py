@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spendlens.plans.views_sql import with_views
 
 Job = Callable[[SparkSession, str], DataFrame]
-MODULES = ["performance", "dashboards", "signals", "forecasts", "health", "planning", "state"]
+MODULES = ["performance", "dashboards", "signals", "forecasts", "health", "planning", "state", "enrichment"]
 
 
 @dataclass(frozen=True)

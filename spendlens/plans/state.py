@@ -17,7 +17,7 @@ STATUS_OF = {"click": "viewed", "purchase": "resolved", "error": "dismissed"}
 STATUS = """
 items AS (SELECT DISTINCT user_id AS item_id, CAST((user_id // 20) % 25 AS BIGINT) AS client_id FROM events),
 log AS (SELECT user_id AS item_id, event_id, ts, CASE event_type WHEN 'click' THEN 'viewed' WHEN 'purchase' THEN 'resolved'
-    WHEN 'error' THEN 'dismissed' END AS status FROM events WHERE event_type IN ('click', 'purchase', 'error') AND value >= 60),
+    WHEN 'error' THEN 'dismissed' END AS status FROM events WHERE event_type IN ('click', 'purchase', 'error') AND value >= 150),
 status AS (SELECT item_id, client_id, coalesce(s, 'new') AS status FROM items
   LEFT JOIN (SELECT item_id, arg_max(status, (ts, event_id)) AS s FROM log GROUP BY item_id) USING (item_id))"""
 
@@ -28,7 +28,7 @@ def item_status(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("item_id"), (F.floor(F.col("user_id") / 20) % 25).cast("long").alias("client_id")
     ).distinct()
     status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair]).getItem(F.col("event_type"))
-    log = events.where(F.col("event_type").isin(*STATUS_OF) & (F.col("value") >= 60)).select(
+    log = events.where(F.col("event_type").isin(*STATUS_OF) & (F.col("value") >= 150)).select(
         F.col("user_id").alias("item_id"), "event_id", F.col("ts").alias("at"), status.alias("status")
     )
     return state.current_status(items, log, "new")
@@ -83,8 +83,8 @@ def new_action_items(spark: SparkSession, sf: str) -> DataFrame:
 @query("action_list", f"""
 WITH {PROPOSED}, firsts AS (SELECT client_id, text_hash, arg_min(text, arrival) AS text, arg_min(priority, arrival) AS priority,
     min(upload_id) AS created_on FROM proposed GROUP BY client_id, text_hash)
-SELECT client_id, text_hash, text, priority, created_on, row_number() OVER (PARTITION BY client_id
-  ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, created_on, text_hash) AS position FROM firsts""")
+SELECT client_id, text_hash, text, priority, created_on,
+  CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS priority_order FROM firsts""")
 def action_list(spark: SparkSession, sf: str) -> DataFrame:
     first = state.with_hash(_proposed(spark, sf)).groupBy("client_id", "text_hash").agg(
         F.min_by("text", "arrival").alias("text"), F.min_by("priority", "arrival").alias("priority"),
