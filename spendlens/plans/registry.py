@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spendlens.plans.views_sql import with_views
 
 Job = Callable[[SparkSession, str], DataFrame]
-MODULES = ["performance", "dashboards", "signals", "forecasts", "health", "planning", "state", "enrichment"]
+MODULES = ["performance", "dashboards", "signals", "forecasts", "health", "planning", "state",
+           "conforming", "enrichment", "reports_text", "arrivals"]
 
 
 @dataclass(frozen=True)
