@@ -1,137 +1,146 @@
-"""Normalising date cells and period labels to ISO dates."""
+"""Normalising date cells and period labels to ISO dates.
+
+A cell is cut into its words and numbers once and recognised by its shape; year, month and
+day are then read by position.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
 from spendlens.functions.guards import col
 
-SEP = r"[-/\.]"
-AMBIGUOUS = rf"^(\d{{1,2}}){SEP}(\d{{1,2}}){SEP}(\d{{4}})$"
-AMBIGUOUS_SHORT = rf"^(\d{{1,2}}){SEP}(\d{{1,2}}){SEP}(\d{{2}})$"
-AMBIGUOUS_SPACED = r"^(\d{1,2})\s+(\d{1,2})\s+(\d{4})$"
-AMBIGUOUS_ANY = rf"^(\d{{1,2}}){SEP}(\d{{1,2}}){SEP}\d{{2,4}}$"
-ISO = rf"^(\d{{4}}){SEP}(\d{{1,2}}){SEP}(\d{{1,2}})$"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-DAY_NAME_YEAR = r"^(\d{1,2})[-/\.\s]([a-zA-Z]+)[-/\.\s](\d{2,4})$"
-NAME_DAY_YEAR = r"^([a-zA-Z]+)\s+(\d{1,2}),?\s+(\d{4})$"
-YEAR_NAME_DAY = rf"^(\d{{4}}){SEP}([a-zA-Z]+){SEP}(\d{{1,2}})$"
-RANGE_NAMED = r"^([a-zA-Z]+\s+\d{1,2},?\s+\d{4})\s*[-–]\s*.+$"
-RANGE_NUMERIC = r"^(\d{1,2}[-/\.][a-zA-Z\d][-/\.]\d{2,4})\s*[-–]\s*.+$"
-
-
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
+DAY_MONTH = r"^(\d{1,2})[-/\.](\d{1,2})[-/\.]\d{2,4}$"
+WEEK = r"^[Ww](?:eek\s*|[Kk]\s*)?\d{1,2}"
+# notation -> pattern, in the order they are tried
+DATE_SHAPES = {
+    "excel": r"^\d{5}$",
+    "year month day": r"^\d{4}[-/\.]\d{1,2}[-/\.]\d{1,2}$",
+    "compact": r"^\d{8}$",
+    "ambiguous": r"^\d{1,2}[-/\.]\d{1,2}[-/\.](\d{4}|\d{2})$|^\d{1,2}\s+\d{1,2}\s+\d{4}$",
+    "day name year": r"^\d{1,2}[-/\.\s][a-zA-Z]+[-/\.\s](\d{4}|\d{2})$",
+    "name day year": r"^[a-zA-Z]+\s+\d{1,2},?\s+\d{4}(\s*[-–]\s*.+)?$",
+    "year name day": r"^\d{4}[-/\.][a-zA-Z]+[-/\.]\d{1,2}$",
+    "ambiguous range": r"^\d{1,2}[-/\.]\d[-/\.](\d{4}|\d{2})\s*[-–]\s*.+$",
+}
+LABEL_SHAPES = {
+    "quarter year": r"^[Qq][1-4][\s/\-]\d{4}$",
+    "year quarter": r"^\d{4}[\s/\-][Qq][1-4]$",
+    "half year": r"^[Hh][12][\s/\-]\d{4}$",
+    "year half": r"^\d{4}[\s/\-][Hh][12]$",
+    "fiscal": r"^[Ff][Yy][\s\-]?(\d{4}|\d{2})$|^[Ff][Yy]\d{4}[-/]\d{2,4}$",
+    "week year": WEEK + r"[\s/\-]\d{4}$",
+    "week": WEEK + "$",
+    "month year": r"^[a-zA-Z]+[\s\-/]\d{4}$",
+    "year month": r"^\d{4}[\s\-/][a-zA-Z]+$",
+}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name, keeping long expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _int(text: Column) -> Column:
     return text.try_cast("int")
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date from its parts, null when they do not make one."""
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast("date")
-
-
 def _full_year(year: Column) -> Column:
-    """Two-digit years up to 49 belong to this century, later ones to the last."""
+    """Two-digit years below the pivot belong to this century, the others to the last."""
     return F.when(year < fx.TWO_DIGIT_YEAR_PIVOT, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
 def _month_number(name: Column) -> Column:
-    name = F.lower(name)
-    short = F.array_position(F.array(*[F.lit(m) for m in fx.MONTHS]), name)
-    full = F.array_position(F.array(*[F.lit(m) for m in fx.MONTH_NAMES]), name)
-    return F.nullif(F.greatest(short, full), F.lit(0))
-
-
-def _ambiguous(text: Column, pattern: str, day_first: Column) -> Column:
-    a, b = _int(_part(text, pattern, 1)), _int(_part(text, pattern, 2))
-    year = _full_year(_int(_part(text, pattern, 3)))
-    first_is_day = F.when(a > 12, True).when(b > 12, False).otherwise(day_first)
-    return F.when(text.rlike(pattern), F.when(first_is_day, _date(year, b, a)).otherwise(_date(year, a, b)))
-
-
-def _ordered(text: Column, pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
-    name = _part(text, pattern, month)
-    number = _month_number(name) if named else _int(name)
-    parts = _date(_full_year(_int(_part(text, pattern, year))) if named else _int(_part(text, pattern, year)),
-                  number, _int(_part(text, pattern, day)))
-    return F.when(text.rlike(pattern) & number.isNotNull(), parts)
-
-
-def _single_date(text: Column, day_first: Column) -> Column:
-    return F.coalesce(
-        _ordered(text, ISO, 1, 2, 3),
-        _ordered(text, COMPACT, 1, 2, 3),
-        _ambiguous(text, AMBIGUOUS, day_first),
-        _ambiguous(text, AMBIGUOUS_SHORT, day_first),
-        _ordered(text, DAY_NAME_YEAR, 3, 2, 1, named=True),
-        _ordered(text, NAME_DAY_YEAR, 3, 1, 2, named=True),
-        _ordered(text, YEAR_NAME_DAY, 1, 2, 3, named=True),
-        _ambiguous(text, AMBIGUOUS_SPACED, day_first),
+    """Number of a month given by its full or three-letter name, else null."""
+    known = F.array(*[F.lit(m) for m in fx.MONTH_NAMES])
+    short = F.array(*[F.lit(m) for m in fx.MONTHS])
+    place = F.greatest(F.array_position(known, F.lower(name)), F.array_position(short, F.lower(name)))
+    return F.nullif(place, F.lit(0)).cast("int")
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    parts = [F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")]
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.concat_ws("-", *parts).try_cast("date"))
+
+
+def _shape(text: Column, shapes: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in shapes.items()])
+
+
+def _parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+|\d+"), F.lit(0))
+
+
+def _date_of(cell: Column) -> Column:
+    """Date of a recognised cell (fields text, shape, parts, day_first)."""
+    shape, parts = cell["shape"], cell["parts"]
+    a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+    one, two = _int(a), _int(b)
+    day_leads = F.when(one > 12, True).when(two > 12, False).otherwise(cell["day_first"])
+    ambiguous = shape.startswith("ambiguous")
+    year = (
+        F.when(shape == "compact", _int(F.left(a, F.lit(4))))
+        .when(shape.startswith("year"), one).otherwise(_full_year(_int(c)))
+    )
+    month = (
+        F.when(shape == "compact", _int(F.substring(a, 5, 2))).when(shape == "year month day", two)
+        .when(ambiguous, F.when(day_leads, two).otherwise(one))
+        .otherwise(_month_number(F.when(shape == "name day year", a).otherwise(b)))
+    )
+    day = (
+        F.when(shape == "compact", _int(F.right(a, F.lit(2)))).when(shape.startswith("year"), _int(c))
+        .when(ambiguous, F.when(day_leads, one).otherwise(two))
+        .otherwise(F.when(shape == "name day year", two).otherwise(one))
     )
+    serial = F.when(one.between(fx.EXCEL_FIRST, fx.EXCEL_LAST), F.date_add(F.lit(fx.EXCEL_EPOCH).cast("date"), one))
+    return F.when(shape == "excel", serial).otherwise(_date(year, month, day))
 
 
-def _excel_day(text: Column) -> Column:
-    serial = _int(text)
-    fits = text.rlike(r"^\d{5}$") & serial.between(fx.EXCEL_FIRST, fx.EXCEL_LAST)
-    return F.when(fits, F.date_add(F.lit(fx.EXCEL_EPOCH).cast("date"), serial))
+def _period_of(label: Column, fy_start_month: int, as_of_year: int | None) -> Column:
+    """First day of a recognised period label (fields shape, parts)."""
+    shape, parts = label["shape"], label["parts"]
+    a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+    first = F.lit(1)
+    year_leads = shape.startswith("year")
+    year = (
+        F.when(year_leads, _int(a)).when(shape == "month year", _int(b)).when(shape == "fiscal", _full_year(_int(b)))
+        .when(shape == "week", F.lit(as_of_year).cast("int")).otherwise(_int(c))
+    )
+    count = _int(F.when(year_leads, c).otherwise(b))
+    month = (
+        F.when(shape.endswith("quarter") | shape.startswith("quarter"), (count - 1) * 3 + 1)
+        .when(shape.endswith("half") | shape.startswith("half"), (count - 1) * 6 + 1)
+        .when(shape == "fiscal", F.lit(fy_start_month))
+        .when(shape == "year month", _month_number(b)).when(shape == "month year", _month_number(a))
+    )
+    # ISO week 1 is the week of 4 January
+    monday = F.date_trunc("week", _date(year, first, F.lit(4))).cast("date")
+    return F.when(shape.startswith("week"), F.date_add(monday, (count - 1) * 7)).otherwise(_date(year, month, first))
 
 
 def period_start(value: Column | str, fy_start_month: int = 4, as_of_year: int | None = None) -> Column:
-    """First day of the period a label names (quarter, half, fiscal year, ISO week, month)."""
-    text = F.trim(col(value))
-    first = F.lit(1)
+    """First day of the period a label names (quarter, half, fiscal year, ISO week, month).
+
+    A week without a year needs ``as_of_year``.
+    """
+    text = F.trim(col(value).cast("string"))
+    label = F.struct(_shape(text, LABEL_SHAPES).alias("shape"), _parts(text).alias("parts"))
+    return _let(label, lambda p: F.when(p["shape"].isNotNull(), _period_of(p, fy_start_month, as_of_year)))
 
-    def matched(pattern: str, build) -> Column:
-        return F.when(text.rlike(pattern), build(lambda g: _part(text, pattern, g)))
-
-    def of_quarter(y: Column, q: Column) -> Column:
-        return _date(_int(y), (_int(q) - 1) * 3 + 1, first)
-
-    def of_half(y: Column, h: Column) -> Column:
-        return _date(_int(y), (_int(h) - 1) * 6 + 1, first)
-
-    def of_week(year: Column, week: Column) -> Column:
-        monday = F.date_trunc("week", _date(year, first, F.lit(4))).cast("date")
-        return F.date_add(monday, (_int(week) - 1) * 7)
-
-    def of_month(y: Column, name: Column) -> Column:
-        number = _month_number(name)
-        return F.when(number.isNotNull(), _date(_int(y), number, first))
-
-    week = r"^[Ww](?:eek\s*|[Kk]\s*)?(\d{1,2})"
-    labels = [
-        matched(r"^[Qq]([1-4])[\s/\-](\d{4})$", lambda g: of_quarter(g(2), g(1))),
-        matched(r"^(\d{4})[\s/\-][Qq]([1-4])$", lambda g: of_quarter(g(1), g(2))),
-        matched(r"^[Hh]([12])[\s/\-](\d{4})$", lambda g: of_half(g(2), g(1))),
-        matched(r"^(\d{4})[\s/\-][Hh]([12])$", lambda g: of_half(g(1), g(2))),
-        matched(r"^[Ff][Yy][\s\-]?(\d{4})$", lambda g: _date(_int(g(1)), F.lit(fy_start_month), first)),
-        matched(r"^[Ff][Yy][\s\-]?(\d{2})$", lambda g: _date(_full_year(_int(g(1))), F.lit(fy_start_month), first)),
-        matched(r"^[Ff][Yy](\d{4})[-/]\d{2,4}$", lambda g: _date(_int(g(1)), F.lit(fy_start_month), first)),
-        matched(week + r"[\s/\-](\d{4})$", lambda g: of_week(_int(g(2)), g(1))),
-        matched(r"^([a-zA-Z]+)[\s\-/](\d{4})$", lambda g: of_month(g(2), g(1))),
-        matched(r"^(\d{4})[\s\-/]([a-zA-Z]+)$", lambda g: of_month(g(1), g(2))),
-    ]
-    if as_of_year is not None:
-        labels.append(matched(week + "$", lambda g: of_week(F.lit(as_of_year), g(1))))
-    return F.coalesce(*labels)
-
-
-def parse_date(value: Column | str, day_first: Column | None = None, as_of_year: int | None = None) -> Column:
+
+def parse_date(value: Column | str, day_first: Column | None = None, as_of_year: int | None = None,
+               fy_start_month: int = 4) -> Column:
     """Date of a cell in any of the supported notations; null when it is not one."""
-    day_first = F.lit(True) if day_first is None else F.coalesce(day_first, F.lit(True))
     text = F.trim(col(value).cast("string"))
-    start = F.coalesce(
-        *[_single_date(F.trim(_part(text, pattern, 1)), day_first) for pattern in (RANGE_NAMED, RANGE_NUMERIC)]
-    )
+    order = F.lit(True) if day_first is None else F.coalesce(day_first, F.lit(True))
+    cell = F.struct(_shape(text, DATE_SHAPES).alias("shape"), _parts(text).alias("parts"), order.alias("day_first"))
+    date = _let(cell, lambda c: F.when(c["shape"].isNotNull(), _date_of(c)))
     known = ~F.lower(text).isin(fx.DATE_NULL_WORDS)
-    return F.when(
-        known, F.coalesce(_excel_day(text), _single_date(text, day_first), start, period_start(text, as_of_year=as_of_year))
-    )
+    return F.when(known, F.coalesce(date, period_start(text, fy_start_month, as_of_year)))
 
 
 def normalize_date(value: Column | str, day_first: Column | None = None, as_of_year: int | None = None) -> Column:
@@ -142,5 +151,5 @@ def normalize_date(value: Column | str, day_first: Column | None = None, as_of_y
 def shows_day_first(value: Column | str) -> Column:
     """True or false where a cell settles the order of day and month, else null."""
     text = F.trim(col(value).cast("string"))
-    a, b = _int(_part(text, AMBIGUOUS_ANY, 1)), _int(_part(text, AMBIGUOUS_ANY, 2))
-    return F.when(text.rlike(AMBIGUOUS_ANY), F.when(a > 12, True).when(b > 12, False))
+    one, two = _int(F.regexp_extract(text, DAY_MONTH, 1)), _int(F.regexp_extract(text, DAY_MONTH, 2))
+    return F.when(one > 12, True).when(two > 12, False)

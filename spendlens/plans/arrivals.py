@@ -16,7 +16,7 @@ from spendlens.streaming import arrivals, rolling
 def _rolling_sql(days: int) -> str:
     return f"""
 WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events),
-w AS (SELECT CAST(d - k AS DATE) AS window_start, event_type, c FROM e, range({days}) r(k)),
+w AS (SELECT CAST(d - CAST(k AS INTEGER) AS DATE) AS window_start, event_type, c FROM e, range({days}) r(k)),
 g AS (SELECT window_start, CAST(coalesce(sum(c) FILTER (WHERE event_type IN ('click', 'view')), 0) * 4 AS DOUBLE) / 1000 AS spend,
     count(*) FILTER (WHERE event_type = 'purchase') AS conversions,
     CAST(coalesce(sum(c) FILTER (WHERE event_type = 'purchase'), 0) AS DOUBLE) / 100 AS revenue FROM w GROUP BY window_start)
