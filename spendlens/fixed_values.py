@@ -54,7 +54,6 @@ FORMAT_WORDS = {
 RETARGETING_WORDS = ["retarget", "remarketing", "cart", "abandon", "returning", "existing"]
 
 # ---- cleaning --------------------------------------------------------------------------
-NULL_WORDS = ["--", "-", "n/a", "na", "null", "none", "", "0.00", "0,00"]
 SHORTHAND_PATTERN = r"^([\d,]+\.?\d*)([kKmMlLcCbB]r?)$"
 SHORTHAND_FACTORS = {"k": 1e3, "m": 1e6, "l": 1e5, "cr": 1e7, "b": 1e9}
 SUMMARY_NAME_PATTERN = r"(?i)^(total|grand total|subtotal|all campaigns|summary|report total|aggregate|\s*)$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendlens import fixed_values as fx
 from spendlens.functions.guards import col
 
+DECORATION = "₹$€£%, \t\n\r\x0b\x0c\xa0"
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -17,18 +18,19 @@ def _number(text: Column) -> Column:
 
 
 def clean_numeric(value: Column | str) -> Column:
-    """Text to double: currency, percent and separators stripped, K/M/L/Cr/B expanded, junk 0."""
-    text = F.trim(col(value).cast("string"))
-    stripped = F.regexp_replace(text, r"[₹$€£\s%,]", "")
+    """Text to double: currency, percent and separators stripped, K/M/L/Cr/B expanded, junk 0.
+
+    Null words hold no number and end at 0 like any other junk; the pattern for shorthand is
+    only tried on cells that are not numbers once stripped.
+    """
+    stripped = F.translate(col(value).cast("string"), DECORATION, "")
     suffix = F.lower(F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 2))
     factor = F.lit(1.0)
     for letter, size in fx.SHORTHAND_FACTORS.items():
         factor = F.when(suffix == letter, F.lit(size)).otherwise(factor)
-    short = F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 1).try_cast("double") * factor
-    return (
-        F.when(text.isNull() | F.lower(text).isin(fx.NULL_WORDS), F.lit(0.0))
-        .otherwise(F.coalesce(F.when(suffix != "", short), _number(stripped), F.lit(0.0)))
-    )
+    digits = F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 1)
+    short = F.when(digits != "", digits.try_cast("double") * factor)
+    return F.coalesce(_number(stripped), short, F.lit(0.0))
 
 
 def clean_web_numeric(value: Column | str) -> Column:
