@@ -356,7 +356,7 @@ def audit_scores(checks: DataFrame) -> DataFrame:
     )
     # weights in hundredths keep the weighted mean exact
     weights = F.create_map(*[F.lit(x) for k, w in fx.CATEGORY_WEIGHTS.items() for x in (k, round(w * 100))])
-    weighted = by_category.withColumn("weight", weights.getItem(F.col("category")))
+    weighted = by_category.withColumn("weight", weights[F.col("category")])
     return weighted.groupBy("client_id", "upload_id").agg(
         rnd(F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).cast("long").alias("overall_score"),
         *[F.max(F.when(F.col("category") == k, F.col("score"))).alias(k.lower().replace(" ", "_")) for k in fx.CATEGORY_WEIGHTS],

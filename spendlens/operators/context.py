@@ -78,7 +78,7 @@ def _line(label: str, value: Column) -> Column:
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
     pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.create_map(*pairs).getItem(key) if pairs else F.lit(None).cast("string")
+    return F.create_map(*pairs)[key] if pairs else F.lit(None).cast("string")
 
 
 def _optional_list(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendlens.session import stored
 from spendlens.sources import model
 
 CAMPAIGN = ["client_id", "platform", "campaign_name"]
@@ -47,7 +48,12 @@ def attach_ranks(campaigns: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def ranked_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_ranks(model.campaigns(spark, sf_dir), model.uploads(spark, sf_dir))
+    return attach_ranks(model.campaigns(spark, sf_dir), stored_uploads(spark, sf_dir))
+
+
+def stored_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploads table, written once: ranking reads it twice and orders should be scanned once."""
+    return stored(model.uploads(spark, sf_dir))
 
 
 def in_blocks(df: DataFrame, lookback: int) -> DataFrame:

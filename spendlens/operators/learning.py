@@ -70,27 +70,24 @@ def outcome_signals(done: DataFrame, campaigns: DataFrame, tracked: DataFrame) -
 def with_uploads_until(items: DataFrame, uploads: DataFrame, day: str) -> DataFrame:
     """Add how many of the client's uploads happened up to ``day`` of each item.
 
-    An as-of count: both sides are merged in date order per client and year, with yearly
-    totals as offsets, so no item meets every upload of its client.
+    An as-of count over distinct days: uploads per day are accumulated per client and year,
+    yearly totals give the offset, and items look their day up. No item meets every upload of
+    its client and no task holds more than the days of a year.
     """
-    per_year = uploads.groupBy("client_id", F.year("uploaded_on").alias("upload_year")).agg(F.count(F.lit(1)).alias("n"))
-    merged = items.withColumn("at", F.col(day)).unionByName(
-        uploads.select("client_id", F.col("uploaded_on").alias("at"), F.lit(1).alias("is_upload")), allowMissingColumns=True
-    ).withColumn("upload_year", F.year("at")).withColumn("is_upload", F.coalesce("is_upload", F.lit(0)))
-    within = Window.partitionBy("client_id", "upload_year").orderBy("at", F.desc("is_upload")).rowsBetween(
-        Window.unboundedPreceding, 0
+    per_day = uploads.groupBy("client_id", F.col("uploaded_on").alias("on_day")).agg(F.count(F.lit(1)).alias("n"))
+    asked = items.select("client_id", F.col(day).alias("on_day"), F.lit(0).cast("long").alias("n")).distinct()
+    days = per_day.unionByName(asked).groupBy("client_id", "on_day").agg(F.sum("n").alias("n"))
+    by_year = days.withColumn("on_year", F.year("on_day"))
+    within = Window.partitionBy("client_id", "on_year").orderBy("on_day").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("client_id").orderBy("on_year").rowsBetween(Window.unboundedPreceding, -1)
+    years = by_year.groupBy("client_id", "on_year").agg(F.sum("n").alias("in_year")).select(
+        "client_id", "on_year", F.coalesce(F.sum("in_year").over(earlier), F.lit(0)).alias("before"),
+        F.sum("in_year").over(Window.partitionBy("client_id")).alias("uploads_total"),
     )
-    counted = merged.withColumn("in_year", F.sum("is_upload").over(within)).where(F.col("is_upload") == 0)
-    # years per client are few: one sorted array per client, read by position
-    years = per_year.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("upload_year", "n"))).alias("by_year"))
-    before = F.aggregate(
-        F.map_entries("by_year"), F.lit(0).cast("long"),
-        lambda acc, e: acc + F.when(e["key"] < F.col("upload_year"), e["value"]).otherwise(F.lit(0)),
-    )
-    whole = F.aggregate(F.map_values("by_year"), F.lit(0).cast("long"), lambda acc, n: acc + n)
-    return counted.join(years, "client_id").select(
-        *items.columns, (F.col("in_year") + before).alias("uploads_until"), whole.alias("uploads_total")
+    counted = by_year.withColumn("in_year", F.sum("n").over(within)).join(years, ["client_id", "on_year"]).select(
+        "client_id", F.col("on_day").alias(day), (F.col("in_year") + F.col("before")).alias("uploads_until"), "uploads_total"
     )
+    return items.join(counted, ["client_id", day])
 
 
 def action_impact(items: DataFrame, uploads: DataFrame, campaigns: DataFrame, as_of: date) -> DataFrame:

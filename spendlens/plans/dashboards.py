@@ -230,7 +230,7 @@ SELECT client_id, upload_id, period_label, period_start, round(SUM4(spend), 2) A
   SUM4(conversions) AS conversions
 FROM campaigns WHERE upload_rank > upload_count - 6 GROUP BY client_id, upload_id, period_label, period_start""")
 def recent_period_trend(spark: SparkSession, sf: str) -> DataFrame:
-    recent = history.campaign_history(model.campaigns(spark, sf), model.uploads(spark, sf), 6)
+    recent = history.campaign_history(model.campaigns(spark, sf), history.stored_uploads(spark, sf), 6)
     return recent.groupBy("client_id", "upload_id", "period_label", "period_start").agg(
         rnd(total("spend"), 2).alias("spend"),
         rnd(ratio(total("conversion_value"), total("spend")), 2).alias("roas"),
@@ -242,7 +242,7 @@ def recent_period_trend(spark: SparkSession, sf: str) -> DataFrame:
 SELECT client_id, upload_id, platform, campaign_name, period_date, roas, cac, ctr, spend
 FROM campaigns WHERE upload_rank > upload_count - 6""")
 def campaign_history(spark: SparkSession, sf: str) -> DataFrame:
-    return history.campaign_history(model.campaigns(spark, sf), model.uploads(spark, sf), 6).select(
+    return history.campaign_history(model.campaigns(spark, sf), history.stored_uploads(spark, sf), 6).select(
         "client_id", "upload_id", "platform", "campaign_name", "period_date", "roas", "cac", "ctr", "spend"
     )
 

@@ -142,7 +142,7 @@ JOIN campaigns c ON c.upload_id = b.upload_id AND lower(c.campaign_name) = lower
   AND (p.platform IS NULL OR p.platform = c.platform)""")
 def action_impact(spark: SparkSession, sf: str) -> DataFrame:
     facts = stored(model.campaigns(spark, sf))
-    return learning.action_impact(done_items(facts), model.uploads(spark, sf), facts, AS_OF)
+    return learning.action_impact(done_items(facts), history.stored_uploads(spark, sf), facts, AS_OF)
 
 
 @query("bulk_report", f"""

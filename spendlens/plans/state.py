@@ -27,7 +27,7 @@ def item_status(spark: SparkSession, sf: str) -> DataFrame:
     items = events.select(
         F.col("user_id").alias("item_id"), (F.floor(F.col("user_id") / 20) % 25).cast("long").alias("client_id")
     ).distinct()
-    status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair]).getItem(F.col("event_type"))
+    status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])[F.col("event_type")]
     log = events.where(F.col("event_type").isin(*STATUS_OF) & (F.col("value") >= 150)).select(
         F.col("user_id").alias("item_id"), "event_id", F.col("ts").alias("at"), status.alias("status")
     )

@@ -13,12 +13,10 @@ PARTITION = "client_id"
 def append_table(df: DataFrame, folder: str, name: str) -> None:
     """Append rows to a stored table, partitioned by client for pruning.
 
-    Rows are spread by client and a hash of the row before writing, so a large client is
-    written by many tasks while a small one does not produce a file per task.
+    The rebalance hint lets adaptive execution split a large client over many writers and
+    put small clients together, so files come out at the advisory partition size.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    spread = df.withColumn("write_salt", salt).repartition(PARTITION, "write_salt").drop("write_salt")
-    spread.write.mode("append").partitionBy(PARTITION).parquet(f"{folder.rstrip('/')}/{name}")
+    df.hint("rebalance", PARTITION).write.mode("append").partitionBy(PARTITION).parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:

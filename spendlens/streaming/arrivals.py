@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spendlens import fixed_values as fx
 from spendlens.operators import alerts, anomalies, cleaning, history, metrics, reports
+from spendlens.session import stored
 from spendlens.sources.exports import FILE, ORDINAL
 
 ARRIVAL_COLUMNS = ["client_id", "upload_id", "period_start", "Campaign", "Impr.", "Clicks", "Cost (INR)", "Conv.", "Conv. value"]
@@ -63,14 +65,23 @@ def checks_pipeline(folder: str, clients: DataFrame, rules: DataFrame) -> Callab
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         facts = stored_table(spark, folder, "campaigns").drop("batch_id")
-        uploads = facts.select("client_id", "upload_id", "period_date", "period_start").distinct()
-        ranked = history.attach_ranks(facts, uploads)
-        arrived = batch.select("upload_id").distinct()
+        arrived = batch.select("client_id", "upload_id").distinct()
+        theirs = facts.join(arrived.select("client_id").distinct(), "client_id", "left_semi")
+        uploads = theirs.select("client_id", "upload_id", "period_date").distinct()
+        ranks = stored(history.rank_uploads(uploads).select("client_id", "upload_id", "upload_rank", "upload_count"))
+        # only the arrived uploads and the history their checks look back on
+        span = ranks.join(arrived, ["client_id", "upload_id"]).groupBy("client_id").agg(
+            F.min("upload_rank").alias("first_rank"), F.max("upload_rank").alias("last_rank")
+        )
+        needed = ranks.join(span, "client_id").where(
+            F.col("upload_rank").between(F.col("first_rank") - fx.SEASON_UPLOADS, F.col("last_rank"))
+        ).select("client_id", "upload_id", "upload_rank", "upload_count")
+        ranked = stored(theirs.join(needed, ["client_id", "upload_id"]))
         for table, rows in (
             ("kpi_alerts", alerts.kpi_alerts(ranked, clients, rules)),
             ("anomalies", anomalies.detect_anomalies(ranked, clients)),
         ):
-            write_batch(rows.join(arrived, "upload_id", "left_semi"), folder, table, batch_id)
+            write_batch(rows.join(arrived, ["client_id", "upload_id"], "left_semi"), folder, table, batch_id)
 
     return run
 

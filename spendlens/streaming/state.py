@@ -18,11 +18,12 @@ def _compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     """Emit each arriving period next to the one before it; only the latest period is remembered."""
     last = state.get if state.exists else (None, None, None)
     rows = []
-    for frame in frames:
-        for row in frame.sort_values(["period_date", "upload_id"]).itertuples(index=False):
-            rows.append((*key, row.upload_id, row.roas, last[1], row.spend, last[2]))
-            if last[0] is None or row.period_date >= last[0]:
-                last = (row.period_date, row.roas, row.spend)
+    # a campaign has one row per upload, so a micro-batch brings few rows per key
+    arrived = pd.concat(list(frames)).sort_values(["period_date", "upload_id"])
+    for row in arrived.itertuples(index=False):
+        rows.append((*key, row.upload_id, row.roas, last[1], row.spend, last[2]))
+        if last[0] is None or row.period_date >= last[0]:
+            last = (row.period_date, row.roas, row.spend)
     state.update(last)
     columns = ["client_id", "platform", "campaign_name", "upload_id", "roas", "prior_roas", "spend", "prior_spend"]
     yield pd.DataFrame(rows, columns=columns)
