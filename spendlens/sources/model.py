@@ -123,6 +123,11 @@ def budget_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hundredths(amount: Column) -> Column:
+    """Whole hundredths of a non-negative amount with two decimals, in plain arithmetic."""
+    return F.floor(amount * 100 + 0.5)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with client, period, platform and campaign/ad group/keyword names."""
     item = table(spark, sf_dir, "lineitem")
@@ -133,7 +138,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("keyword_name"),
         "p_size",
     )
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = _hundredths(F.col("l_extendedprice"))
     kept = F.col("l_returnflag") != "R"
     quantity = F.col("l_quantity").cast("long")
     views = quantity * (10 + F.col("l_partkey") % 50)
@@ -147,8 +152,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_linestatus") == "O", "google").otherwise("meta").alias("platform"),
             "campaign_name", "adgroup_name", "keyword_name", "p_size", "l_quantity", "l_linenumber", "l_returnflag",
             "l_linestatus",
-            (cents * F.round(F.col("l_tax") * 100).cast("long")).alias("spend_units"),
-            F.when(kept, cents * (100 - F.round(F.col("l_discount") * 100).cast("long"))).otherwise(0).alias("value_units"),
+            (cents * _hundredths(F.col("l_tax"))).alias("spend_units"),
+            F.when(kept, cents * (100 - _hundredths(F.col("l_discount")))).otherwise(0).alias("value_units"),
             F.when(kept, 1).otherwise(0).alias("converted"),
             quantity.alias("clicks"),
             views.alias("impressions"),
@@ -260,7 +265,7 @@ def web_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaign facts over three-day periods from the event stream."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    kind, cents = F.col("event_type"), F.round(F.col("value") * 100).cast("long")
+    kind, cents = F.col("event_type"), _hundredths(F.col("value"))
 
     def events_of(name: str) -> Column:
         return count_where(kind == name)
