@@ -58,6 +58,7 @@ def kpi_alerts(campaigns: DataFrame, clients: DataFrame, rules: DataFrame) -> Da
     def pct2(value: Column) -> Column:
         return F.concat(fmt.decimals(value, 2), F.lit("%"))
 
+    # FIXED VALUES: alert types, limits and message wording
     found = [
         _alert("roas_below", ~brand & (spend > 50) & (roas > 0) & (roas < floor), floor, rnd(roas, 2),
                pct_change(roas, floor), pct_change(roas, floor) < -30,

@@ -73,7 +73,10 @@ def _row(fires: Column, metric: str, current: Column, base: Column, change: Colu
 
 
 def _against_baseline() -> list[Column]:
-    """Cost, ROAS, CTR and pacing against their medians."""
+    """Cost, ROAS, CTR and pacing against their medians.
+
+    FIXED VALUES: metric names and the wording of descriptions, here and in the checks below.
+    """
 
     def graded(change: Column, limit: Column) -> Column:
         size = F.abs(change) / limit

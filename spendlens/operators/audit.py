@@ -153,6 +153,10 @@ def ctr_trend(campaigns: DataFrame) -> DataFrame:
 
 
 def _checks() -> list[Column]:
+    """The twenty-one checks in report order.
+
+    FIXED VALUES: check names, categories, limits and the wording of reasons and actions.
+    """
     c = F.col
     platform = c("platform")
 

@@ -115,6 +115,7 @@ def briefings(clients: DataFrame) -> DataFrame:
     model = F.when(_said("attribution_model") != "unknown", _said("attribution_model"))
     note = F.coalesce(F.concat(F.lit("\nAttribution note: "), _lookup(bv.ATTRIBUTION_NOTES, model)), F.lit(""))
     benchmark = _lookup(bv.benchmark_texts(), kind)
+    # FIXED VALUES: line labels
     lines = [
         F.lit("=== CLIENT BRIEFING ==="),
         _line("Business type: ", _lookup(bv.BUSINESS_LABELS, known)),

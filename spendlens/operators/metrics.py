@@ -131,6 +131,16 @@ def trend_of(current: Column | str, prior: Column | str) -> Column:
     )
 
 
+def with_prior_roas(campaigns: DataFrame, prior: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Attach ROAS of a separate prior-period export by campaign name and the resulting trend.
+
+    A name listed twice in the prior export counts with its last row.
+    """
+    last = prior.groupBy(*keys, "campaign_name").agg(rnd(F.max_by("roas", ordinal), 2).alias("prior_roas"))
+    joined = campaigns.join(last, [*keys, "campaign_name"], "left")
+    return joined.withColumn("trend", trend_of("roas", "prior_roas"))
+
+
 def delta(current: Column | str, previous: Column | str) -> Column:
     """Struct of absolute change, size in percent and direction."""
     current, previous = col(current), col(previous)

@@ -11,6 +11,7 @@ from spendlens import fixed_values as fx
 from spendlens.functions.formatting import repair_mojibake
 from spendlens.functions.guards import any_of, col, contains_any, count_where, ratio, rnd
 
+# FIXED VALUES: patterns of report markup
 LIST_ITEM = r"(?is)<li[^>]*>(.*?)</li>"
 RECOMMENDATION_PART = r'(?is)(recommendation|action|priorit)[^<]*</[^>]+>(.*?)(</section|<h[123]|<div\s+class="section)'
 BUDGET_ROW = (

@@ -135,6 +135,21 @@ def test_metrics_and_severity(spark):
     assert tuple(d[0]) == (5.0, 0.0, "flat") and tuple(d[1]) == (-1.0, 10.0, "down")
 
 
+def test_trend_against_a_prior_export(spark):
+    now = spark.createDataFrame([("a", 2.2), ("b", 1.0), ("c", 1.02), ("d", 5.0), ("e", 1.0)], "campaign_name string, roas double")
+    prior = spark.createDataFrame([("a", 9.0, 1), ("a", 2.0, 2), ("b", 2.0, 3), ("c", 1.0, 4), ("e", 0.0, 5)], "campaign_name string, roas double, at int")
+    got = {r["campaign_name"]: r["trend"] for r in metrics.with_prior_roas(now, prior, [], "at").collect()}
+    assert got == {"a": "improving", "b": "declining", "c": "stable", "d": "unknown", "e": "unknown"}
+
+
+def test_summary_without_revenue_uses_mean_roas(spark):
+    rows = [(1, "meta", 10.0, None, 1.0, 2.0, 1.0, 0.0, "ok"), (1, "meta", 30.0, None, 0.0, 4.0, 3.0, 0.0, "ok")]
+    df = spark.createDataFrame(rows, "client_id int, platform string, spend double, conversion_value double, conversions double, roas double, "
+                                     "ctr double, wasted_spend double, severity string")
+    got = metrics.platform_summary(df, ["client_id"]).first()
+    assert got["overall_roas"] == 3.0 and got["total_revenue"] is None and got["overall_cac"] == 40.0 and got["overall_ctr"] == 2.0
+
+
 def test_rollup_without_spend_uses_plain_mean(spark):
     df = spark.createDataFrame([("c", "g1", 0.0, 2.0, 7), ("c", "g1", 0.0, 4.0, 3), ("d", "g1", 10.0, 1.0, 5), ("d", "g1", 30.0, 3.0, 4)],
                                "campaign string, `ad group` string, cost double, roas double, `quality score` int")
