@@ -21,16 +21,17 @@ def clean_numeric(value: Column | str) -> Column:
     """Text to double: currency, percent and separators stripped, K/M/L/Cr/B expanded, junk 0.
 
     Null words hold no number and end at 0 like any other junk; the pattern for shorthand is
-    only tried on cells that are not numbers once stripped.
+    only tried on cells that are not numbers once stripped, and plain numbers skip both.
     """
-    stripped = F.translate(col(value).cast("string"), DECORATION, "")
+    text = col(value).cast("string")
+    stripped = F.translate(text, DECORATION, "")
     suffix = F.lower(F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 2))
     factor = F.lit(1.0)
     for letter, size in fx.SHORTHAND_FACTORS.items():
         factor = F.when(suffix == letter, F.lit(size)).otherwise(factor)
     digits = F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 1)
     short = F.when(digits != "", digits.try_cast("double") * factor)
-    return F.coalesce(_number(stripped), short, F.lit(0.0))
+    return F.coalesce(_number(F.trim(text)), _number(stripped), short, F.lit(0.0))
 
 
 def clean_web_numeric(value: Column | str) -> Column:

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
 from spendlens.functions import formatting as fmt
-from spendlens.functions.guards import (
-    any_of, contains_any, count_where, first_present, mean, present, ratio, rnd, total, zero_if_null,
-)
+from spendlens.functions.guards import contains_any, count_where, first_present, mean, present, ratio, rnd, total, zero_if_null
 from spendlens.operators import alerts, context
 from spendlens.session import stored
 

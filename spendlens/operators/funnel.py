@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
-from spendlens.functions.guards import col, mean, present, ratio, rnd, total, zero_if_null
+from spendlens.functions.guards import present, ratio, rnd, total, zero_if_null
 from spendlens.operators import columns as headers
 from spendlens.operators import matching
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
-from spendlens.functions.guards import count_where, mean, present, ratio, rnd, total, zero_if_null
+from spendlens.functions.guards import count_where, mean, present, ratio, rnd, total
 from spendlens.operators import matching
 
 MEASURES = ["sessions", "users", "new_users", "engaged_sessions", "bounce_rate", "avg_session_duration",

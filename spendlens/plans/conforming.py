@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spendlens import fixed_values as fx
 from spendlens.functions import dates, numbers
 from spendlens.functions.guards import rnd
-from spendlens.operators import cleaning, columns as headers, metrics
+from spendlens.operators import cleaning, funnel, metrics
+from spendlens.operators import columns as headers
+from spendlens.plans.enrichment import raw_keywords
 from spendlens.plans.registry import query
 from spendlens.sources import detect, exports, model, sinks
 
@@ -187,8 +189,6 @@ def social_export_metrics(spark: SparkSession, sf: str) -> DataFrame:
 SELECT client_id, lower(funnel_name) AS funnel_key, leads, mqls, NULL::DOUBLE AS sqls, customers FROM crm_funnel""")
 def clean_funnel_export(spark: SparkSession, sf: str) -> DataFrame:
     """Funnel rows exported without a qualified-sales column, each file led by a stale row per name and closed by a total."""
-    from spendlens.operators import funnel
-
     rows = model.crm_funnel(spark, sf)
     shown = rows.select(
         "client_id", F.lit(2).alias("at"), F.col("funnel_name").alias("Source"), F.format_number("leads", 0).alias("Form Fills"),
@@ -256,8 +256,6 @@ SELECT client_id, platform, 'keyword' AS row_level, campaign_name, adgroup_name,
   round(CASE WHEN impressions <> 0 THEN clicks / impressions ELSE 0 END * 100, 4) AS ctr,
   round(CASE WHEN clicks <> 0 THEN spend / clicks ELSE 0 END, 4) AS cpc, quality_score, '' AS match_type, '' AS ad_type FROM granular""")
 def granular_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    from spendlens.plans.enrichment import raw_keywords
-
     return sinks.granular_table_rows(raw_keywords(spark, sf), "keyword")
 
 

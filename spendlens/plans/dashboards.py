@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.guards import mean, ratio, rnd, total
 from spendlens.operators import dashboard, history
 from spendlens.plans.registry import query
-from spendlens.sources import model
+from spendlens.sources import model, sinks
 
 AS_OF = date(2001, 7, 15)
 
@@ -254,7 +254,5 @@ SELECT c.client_id, c.upload_id, platform, campaign_name AS campaign, round(spen
   leads, mqls, sqls, customers, cost_per_lead, cost_per_mql, cost_per_customer
 FROM campaigns c LEFT JOIN funnel_data f USING (upload_id, campaign_name)""")
 def export_campaigns(spark: SparkSession, sf: str) -> DataFrame:
-    from spendlens.sources.sinks import export_rows
-
     facts = model.campaigns(spark, sf)
-    return export_rows(facts, model.funnel_data(facts))
+    return sinks.export_rows(facts, model.funnel_data(facts))

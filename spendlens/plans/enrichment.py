@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.functions.guards import rnd, total
+from spendlens.functions.guards import ratio, rnd, total
 from spendlens.operators import funnel, granular, matching, webtraffic
 from spendlens.plans.registry import query
 from spendlens.plans.signals import _whole
@@ -41,7 +41,7 @@ RATES = """round(spend / nullif(leads, 0), 2) AS cost_per_lead, round(spend / nu
 
 @query("funnel_by_campaign", f"WITH {MERGED} SELECT *, {RATES} FROM merged")
 def funnel_by_campaign(spark: SparkSession, sf: str) -> DataFrame:
-    return funnel.with_funnel_metrics(_merged(spark, sf)).withColumnRenamed("funnel_key", "funnel_key")
+    return funnel.with_funnel_metrics(_merged(spark, sf))
 
 
 def _summary(source: str, stage: str = "SUM4({s})") -> str:
@@ -193,8 +193,6 @@ RAW = """raw AS (SELECT client_id, platform, campaign_name AS campaign, adgroup_
 
 def raw_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword rows under the headers of a search-ads export."""
-    from spendlens.functions.guards import ratio
-
     rows = model.granular_rows(spark, sf)
     return rows.select(
         "client_id", "platform", F.col("campaign_name").alias("campaign"), F.col("adgroup_name").alias("ad group"),
@@ -268,8 +266,6 @@ b AS (SELECT *, 'worst' AS side, row_number() OVER (PARTITION BY client_id, plat
 SELECT client_id, platform, side, place, name, name || ' (ROAS ' || printf('%.2f', roas) || 'x, spend ' || {_whole('spend')} || ')' AS text
 FROM b WHERE place <= 3""")
 def granular_best_worst(spark: SparkSession, sf: str) -> DataFrame:
-    from spendlens.functions.guards import ratio
-
     rows = raw_keywords(spark, sf).groupBy(
         "client_id", "platform", F.concat_ws(" / ", "campaign", "keyword").alias("name")
     ).agg(total("cost").alias("spend"), rnd(ratio(total("`conversion value`"), total("cost")), 2).alias("roas"))
