@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.operators import forecast
 from spendlens.plans.registry import query
+from spendlens.session import stored
 from spendlens.sources import model
 
 AS_OF = date(2001, 7, 15)
@@ -59,7 +60,7 @@ SELECT client_id, CAST(30 AS BIGINT) AS horizon_days, round(spend) AS proj_spend
   {_direction('d_spend', 'l_spend')} AS spend_trend, {_direction('d_roas', 'l_roas')} AS roas_trend,
   round(factor, 2) AS season_factor, periods_used, round(avg_days) AS avg_period_days FROM p""")
 def account_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.account_forecast(model.campaigns(spark, sf), AS_OF)
+    return forecast.account_forecast(stored(model.campaigns(spark, sf)), AS_OF)
 
 
 @query("campaign_forecast", f"""
@@ -73,7 +74,7 @@ SELECT client_id, platform, campaign_name,
   round(b_cac) AS proj_cpa, {_direction('d_spend', 'l_spend')} AS trend, periods_used
 FROM s JOIN days USING (client_id) JOIN season USING (client_id)""")
 def campaign_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.campaign_forecast(model.campaigns(spark, sf), AS_OF)
+    return forecast.campaign_forecast(stored(model.campaigns(spark, sf)), AS_OF)
 
 
 @query("forecast_history", f"""
