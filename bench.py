@@ -1,6 +1,6 @@
 """Time the headline queries; prints one JSON line.
 
-Each query runs once to warm up and then ``BENCH_RUNS`` times (default 3); the median counts.
+Each query runs once to warm up and then ``BENCH_RUNS`` times (default 1); the median counts.
 Results are consumed in full but not brought to the driver.
 """
 
@@ -27,7 +27,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n] or HEADLINE
     spark = build_session(
         f"local[{cpus}]", "bench", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
