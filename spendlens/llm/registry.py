@@ -6,7 +6,7 @@ import importlib
 
 from spendlens.llm.shared import QUERIES, SQL
 
-MODULES = ["token_files"]
+MODULES = ["token_files", "packing", "merge_replay", "token_counts"]
 
 
 def load() -> tuple[dict, dict]:
