@@ -13,7 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 Pattern = tuple[tuple[int, ...], int]  # lengths of one sequence, how many such sequences
 
@@ -68,9 +68,30 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(c), n) for groups in open_.values() for c, n in groups]
 
 
+def exact_fillings(room: int, counts: dict[int, int], lengths: list[int]) -> Iterator[tuple[int, ...]]:
+    """Two or three lengths, not rising, that fill ``room`` exactly; those with large lengths first."""
+    fit = lengths[:bisect_right(lengths, room)][::-1]
+    for parts in (2, 3):
+        for a in fit:
+            rest = room - a
+            if parts * a < room:
+                break
+            for b in (fit if parts == 3 else [rest]):
+                c = rest - b
+                if b > a or b <= 0 or c > b or c < 0:
+                    continue
+                if parts == 3 and 2 * b < rest:
+                    break
+                chosen = (a, b, c) if c else (a, b)
+                if len(chosen) == parts and all(counts.get(k, 0) >= n for k, n in Counter(chosen).items()):
+                    yield chosen
+
+
 def fillings(room: int, counts: dict[int, int], lengths: list[int], waste: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first; up to ``most`` are looked at."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+    """Undominated ways to fill ``room``, least waste first; up to ``most`` of each kind are looked at."""
+    if counts.get(room):
+        return [(room,)]  # an exact single length dominates all else
+    found: dict[tuple[int, ...], int] = {}
 
     def walk(chosen: list[int], gap: int, largest: int) -> Iterator[tuple[int, ...]]:
         stop = bisect_right(lengths, min(gap, largest))
@@ -84,15 +105,11 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], waste: int,
         if not grew:
             yield tuple(chosen)
 
-    for looked, chosen in enumerate(walk([], room, room), 1):
+    for chosen in chain(islice(exact_fillings(room, counts, lengths), most // 4), islice(walk([], room, room), most)):
         gap = room - sum(chosen)
-        if gap <= waste and not dominated(chosen, gap, counts, lengths):
-            found.append((gap, chosen))
-            if gap == 0 and len(chosen) <= 1:
-                break  # an exact single length dominates all else
-        if looked >= most:
-            break
-    return [chosen for _, chosen in sorted(found, key=lambda f: (f[0], len(f[1])))]
+        if gap <= waste and chosen not in found and not dominated(chosen, gap, counts, lengths):
+            found[chosen] = gap
+    return sorted(found, key=lambda c: (found[c], len(c)))
 
 
 def dominated(chosen: tuple[int, ...], gap: int, counts: dict[int, int], lengths: list[int]) -> bool:
