@@ -6,7 +6,7 @@ import importlib
 
 from spendlens.llm.shared import QUERIES, SQL
 
-MODULES = ["token_files", "packing", "merge_replay", "token_counts"]
+MODULES = ["token_files", "packing", "merge_replay", "token_counts", "url_rules", "cover_tree", "bit_codes"]
 
 
 def load() -> tuple[dict, dict]:
