@@ -20,21 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm.shared import named, table
-from spendlens.llm.tokenizing import CHUNK_LIMIT, spaced_chunks, text_slices
+from spendlens.llm.tokenizing import spaced_chunks, text_slices
 
 #: Characters whose words are merged together: a step costs the same however many words it meets.
-SLICE = 20_000_000
+SLICE = 10_000_000
+#: Chunks and words that a worker remembers between slices.
+CHUNK_LIMIT = 350_000
 NO_PAIR = np.int32(2**31 - 1)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+
+
 class MergeTable:
     """Ranks of a vocabulary and of all token pairs that join to one of its tokens."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        ranks = self.ranks
+        self.ranks = ranks = read_ranks(path)
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items()
                  for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs.sort()
@@ -55,9 +59,10 @@ class MergeTable:
         ends = np.cumsum(sizes)
         token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         count = len(token)
-        after = np.arange(1, count + 1)
+        place = np.int32 if count < 2**31 else np.int64
+        after = np.arange(1, count + 1, dtype=place)
         after[ends - 1] = -1
-        before = np.arange(-1, count - 1)
+        before = np.arange(-1, count - 1, dtype=place)
         before[ends - sizes] = -1
         rank = np.full(count, NO_PAIR, dtype=np.int32)
         inner = np.flatnonzero(after >= 0)
@@ -156,8 +161,9 @@ class ReplayEncoder:
         get = self.known.__getitem__
         return [b"".join(map(get, spaced_chunks(text))) if text else b"" for text in texts]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decode(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _ENCODERS: dict[tuple[str, str], ReplayEncoder] = {}
@@ -190,13 +196,13 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         run, "doc_id long, ids binary")
 
 
-def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decoded(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` (``doc_id``, ``ids``) plus ``decoded``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = replay_encoder(path, pattern)
+        tokens = {rank: token for token, rank in read_ranks(path).items()}
         for batch in batches:
-            raw = pa.array([None if x is None else coder.decode(x) for x in batch.column(1).to_pylist()], pa.binary())
+            raw = pa.array([None if x is None else decode(x, tokens) for x in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], ["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -208,6 +214,6 @@ def op3_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decoded(encoded(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    both = decoded(encoded(table(spark, sf_dir, "documents"), path, pattern), path)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
