@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.learning import held_out, labelled_sample, logistic, sigmoid
+from spendlens.llm.learning import held_out, labelled_sample, sigmoid
 from spendlens.llm.shared import named, table
 
 GRAMS = (3, 4, 5)
@@ -29,7 +29,7 @@ WINDOW, STRIDE = 32, 16
 SCALE = 8.0
 #: Labelled documents that are learnt from at most, toxic and clean, and windows taken of each per round.
 TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS = 2500, 4000, 8, 4
-#: Of every thousand sampled documents, so many set the final scale instead of the embeddings.
+#: Of every thousand sampled documents, so many set the final cut instead of the embeddings.
 CALIBRATION = 200
 #: An n-gram is learnt if the words that have it occur in so many sampled documents in all.
 COMMON = 6
@@ -66,11 +66,10 @@ def window_starts(n: int) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """Value of every n-gram bucket in the linear layer, its constant, and the final scale."""
+    """Value of every n-gram bucket in the linear layer, its constant, and the shift that puts the cut at one half."""
 
     values: np.ndarray
     constant: float
-    slope: float = 1.0
     shift: float = 0.0
     fixed: float | None = None  # score of everything where nothing could be learnt
 
@@ -96,7 +95,7 @@ class Scorer:
         self.known.update((w, values[c]) for w, c in cores.items())
 
     def logits(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """Per text the largest window logit, before the final scale, and where that window starts."""
+        """Per text the largest window logit, before the final shift, and where that window starts."""
         out = []
         split = [(t or "").split() for t in texts]
         fresh = {w for words in split for w in words if w not in self.known}
@@ -254,13 +253,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     seen = sample.where(F.col("turn") < CALIBRATION).select("text", "label").mapInArrow(margins, "margin double, label int").toPandas()
     if seen["label"].nunique() == 2:
-        y = seen["label"].to_numpy()
-        scale = max(float(np.abs(seen["margin"]).max()), 1e-9)
-        model.slope, model.shift = logistic(seen[["margin"]].to_numpy() / scale, y, ridge=1e-3)
-        model.slope = float(model.slope / scale)
+        counts = labels.groupBy("toxic").count().collect()
+        usual = {int(r["toxic"]): r["count"] for r in counts if r["toxic"] is not None}
+        sampled = seen["label"].value_counts()
+        weight = seen["label"].map({k: usual.get(k, 1) / sampled[k] for k in sampled.index}).to_numpy()
+        model.shift = -best_cut(seen["margin"].to_numpy(), seen["label"].to_numpy(), weight)
     return model
 
 
+def best_cut(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The margin from which on calling a text toxic gives the best F1, as classes are usually mixed."""
+    order = np.argsort(-margins, kind="stable")
+    hits, alarms = np.cumsum((weight * toxic)[order]), np.cumsum((weight * (1 - toxic))[order])
+    f1 = 2 * hits / (hits + alarms + (weight * toxic).sum())
+    f1[np.append(np.diff(margins[order]) == 0, False)] = -1  # equal margins stay together
+    best = int(f1.argmax())
+    after = margins[order][min(best + 1, len(order) - 1)]
+    return float((margins[order][best] + after) / 2)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` and ``worst_word`` (first word of the most toxic window) of every row.
 
@@ -275,7 +286,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 part = batch.slice(start, 500)
                 found = scorer.logits(part.column(1).to_pylist())
                 if model.fixed is None:
-                    score = sigmoid(model.slope * np.array([m for m, _ in found]) + model.shift)
+                    score = sigmoid(np.array([m for m, _ in found]) + model.shift)
                 else:
                     score = np.full(len(found), model.fixed)
                 yield pa.RecordBatch.from_arrays(
