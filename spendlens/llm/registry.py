@@ -6,7 +6,7 @@ import importlib
 
 from spendlens.llm.shared import QUERIES, SQL
 
-MODULES = ["token_files", "packing", "merge_replay", "toxicity", "token_counts", "url_rules", "near_duplicates", "cover_tree", "bit_codes"]
+MODULES = ["token_files", "packing", "merge_replay", "toxicity", "quality", "token_counts", "url_rules", "near_duplicates", "cover_tree", "bit_codes"]
 
 
 def load() -> tuple[dict, dict]:
