@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarr
         if largest < 1e-6:
             break
     return w
+
+
+def keep_rows(docs: DataFrame, columns: list[str], prepare: Callable[[], Callable[..., np.ndarray]], at_once: int = 500) -> DataFrame:
+    """Rows of ``docs`` for which a decision on ``columns`` is true, with all their columns.
+
+    ``prepare`` runs once per task and returns the decision, which gets a list per column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = prepare()
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                yield part.filter(pa.array(decide(*(part.column(c).to_pylist() for c in columns)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -166,6 +166,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, one of each group, with all their columns; rows that repeat an id stay together."""
+    gone = stored(near_duplicates(docs, words, similarity, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    few = gone.count() <= BROADCAST_NODES
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone"), "left_anti")
+
+
 @named("op8_circulant_minhash")
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents by shingles of four words."""

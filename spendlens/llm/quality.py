@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from spendlens.llm.learning import held_out, labelled_sample, logistic, sigmoid
+from spendlens.llm.learning import held_out, keep_rows, labelled_sample, logistic, sigmoid
 from spendlens.llm.shared import named, table
 
 SHAPES = 192
@@ -205,6 +205,17 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                        F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, SCORED)
 
 
+def good_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The documents that the model does not reject, with all their columns."""
+
+    def prepare():
+        views = Views()
+        return lambda *columns: model.scores(np.stack([views.content(t) for t in columns[0]]),
+                                             np.stack([views.metadata(*row) for row in zip(*columns, strict=True)]))[0] >= 0.5
+
+    return keep_rows(docs, ["text", "lang", "source", "n_chars"], prepare)
+
+
 @named("op5_co_training")
 def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, 1 for those to keep."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.learning import held_out, labelled_sample, sigmoid
+from spendlens.llm.learning import held_out, keep_rows, labelled_sample, sigmoid
 from spendlens.llm.shared import named, table
 
 GRAMS = (3, 4, 5)
@@ -73,6 +73,9 @@ class ToxicityModel:
     shift: float = 0.0
     fixed: float | None = None  # score of everything where nothing could be learnt
 
+    def scores(self, margins: list[float]) -> np.ndarray:
+        return sigmoid(np.array(margins) + self.shift) if self.fixed is None else np.full(len(margins), self.fixed)
+
 
 class Scorer:
     """Scores texts; remembers the values of up to ``KNOWN_WORDS`` words."""
@@ -285,10 +288,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 found = scorer.logits(part.column(1).to_pylist())
-                if model.fixed is None:
-                    score = sigmoid(np.array([m for m, _ in found]) + model.shift)
-                else:
-                    score = np.full(len(found), model.fixed)
+                score = model.scores([m for m, _ in found])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([w for _, w in found], pa.int32())],
                     ["doc_id", "score", "predicted", "worst_word"])
@@ -296,6 +296,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
+def harmless_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The documents that the model does not call toxic, with all their columns."""
+
+    def prepare():
+        scorer = Scorer(model)
+        return lambda texts: model.scores([m for m, _ in scorer.logits(texts)]) < 0.5
+
+    return keep_rows(docs, [text_col], prepare)
+
+
 @named("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
