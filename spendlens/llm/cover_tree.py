@@ -136,7 +136,7 @@ class DualSearch:
         counts = real.sum(axis=1).astype(np.int64)
         return pa.table({"query_id": pa.array(np.repeat(self.query_ids, counts), pa.int64()),
                          "vec_id": pa.array(self.best[real.astype(bool)], pa.int64()),
-                         "score": pa.array([int(s) for s in self.scores[real.astype(bool)]], pa.int64())})
+                         "score": pa.array([max(-2**63, min(2**63 - 1, int(s))) for s in self.scores[real.astype(bool)]], pa.int64())})
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 4096, block: int = 2048) -> DataFrame:
@@ -144,7 +144,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block:
 
     Both inputs have ``vec_id`` and ``vector`` (whole numbers as doubles); vectors meet only those
     of their own dimension. A candidate with the query's id is the query itself and left out.
-    Equal scores go to smaller ids; with fewer candidates all are returned.
+    Equal scores go to smaller ids; with fewer candidates all are returned. Scores that no 64-bit
+    number holds are ranked exactly and reported as the nearest one that does.
     """
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
