@@ -75,7 +75,8 @@ def agreement(signatures: list[bytes]) -> np.ndarray:
 
 def alike_clusters(bucket: pa.Table) -> list[tuple]:
     """Edges from each member of a bucket to the root of what it hangs together with by signature."""
-    nodes, signatures = bucket["node"].to_pylist(), bucket["signature"].to_pylist()
+    # in order, so that buckets with much the same members agree on the root and their edges coincide
+    nodes, signatures = zip(*sorted(zip(bucket["node"].to_pylist(), bucket["signature"].to_pylist(), strict=True)), strict=True)
     if len(nodes) == 2:
         a, b = (np.frombuffer(s, np.uint8) for s in signatures)
         return [(nodes[0], nodes[1])] if (a == b).sum() >= ALIKE * len(a) else []
