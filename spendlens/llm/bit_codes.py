@@ -111,7 +111,7 @@ def reranked(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, sure: float = 3.0, seed: int = 11,
-            query_block: int = 4096, block: int = 2048) -> DataFrame:
+            query_block: int = 1024, block: int = 8192) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` largest inner products found.
 
     ``sure`` is the number of deviations the error bound spans. Vectors meet those of their own
