@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from spendlens.llm.shared import named, table
 from spendlens.llm.vector_blocks import best_of_blocks, in_blocks, matrix, usable
 
-LEAF = 96
+#: Points of a leaf at most (unless they coincide), and points that are scored at once at least.
+LEAF, BATCH = 128, 512
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -43,14 +44,15 @@ class CoverTree:
         self.order = np.arange(len(points))
         self.root = self._build(0, len(points), 0)
 
-    def _distances(self, rows: np.ndarray, center: int) -> np.ndarray:
-        squares = self.squares[rows] + self.squares[center] - 2 * (self.points[rows] @ self.points[center])
-        return np.sqrt(np.maximum(squares, 0))
-
     def _build(self, first: int, last: int, center: int) -> Node:
         """Node over ``order[first:last]``, which is put into the order of its children."""
         rows = self.order[first:last]
-        near = self._distances(rows, center)
+        inside, squares = self.points[rows], self.squares[rows]
+
+        def distances(point: np.ndarray, square: float) -> np.ndarray:
+            return np.sqrt(np.maximum(squares + square - 2 * (inside @ point), 0))
+
+        near = distances(self.points[center], self.squares[center])
         radius = float(near.max(initial=0))
         node = Node(self.points[center], radius, first, last)
         if len(rows) <= self.leaf or radius == 0:
@@ -59,11 +61,11 @@ class CoverTree:
         centers, owner = [center], np.zeros(len(rows), dtype=np.int64)
         while near.max() > apart:  # the point least covered becomes the next centre
             chosen = int(near.argmax())
-            beyond = self._distances(rows, int(rows[chosen]))
+            beyond = distances(inside[chosen], squares[chosen])
             beyond[chosen] = 0
             closer = beyond < near
             owner[closer] = len(centers)
-            near = np.where(closer, beyond, near)
+            near[closer] = beyond[closer]
             centers.append(int(rows[chosen]))
         by_owner = np.argsort(owner, kind="stable")
         self.order[first:last] = rows[by_owner]
@@ -93,43 +95,71 @@ class DualSearch:
             self._pair(left.root, right.root)
 
     def _worst(self, node: Node) -> float:
-        return float(min(self.scores[node.first:node.last, -1]))
+        return float(self.scores[node.first:node.last, -1].min())
 
     def _pair(self, query: Node, node: Node) -> None:
         """Search a pair of nodes that may still hold better scores."""
-        if not query.children and not node.children:
-            self._leaves(query, node)
-        elif node.children and (not query.children or node.radius >= query.radius):
+        together = not query.children or all(not c.children for c in query.children)
+        if not node.children and together:
+            self._score(query, [node])
+        elif node.children and (together or node.radius >= query.radius):
             centers, radii, norms = node.stack
-            bound = centers @ query.center + query.norm * radii + norms * query.radius + radii * query.radius
-            bound += 1e-9 * (np.abs(bound) + (query.norm + query.radius) * (norms + radii)) + 1e-6
+            bound = self._bounds(query, centers, radii, norms)
+            waiting: list[Node] = []
+            held = 0
             for i in np.argsort(-bound, kind="stable").tolist():
                 if bound[i] < self._worst(query):
                     break  # the rest is bounded lower still
-                self._pair(query, node.children[i])
+                child = node.children[i]
+                if child.children or not together:
+                    self._pair(query, child)
+                    continue
+                waiting.append(child)
+                held += child.last - child.first
+                if held >= BATCH:
+                    self._score(query, waiting)
+                    waiting, held = [], 0
+            if waiting:
+                self._score(query, waiting)
         else:
             for child in query.children:
-                high = float(child.center @ node.center) + child.norm * node.radius + node.norm * child.radius + child.radius * node.radius
-                high += 1e-9 * (abs(high) + (child.norm + child.radius) * (node.norm + node.radius)) + 1e-6
-                if high >= self._worst(child):
+                if self._bounds(child, node.center[None], np.array([node.radius]), np.array([node.norm]))[0] >= self._worst(child):
                     self._pair(child, node)
 
-    def _leaves(self, query: Node, node: Node, at_once: int = 2048) -> None:
-        for first in range(node.first, node.last, at_once):
-            columns = slice(first, min(node.last, first + at_once))
+    @staticmethod
+    def _bounds(query: Node, centers: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """What no inner product between points of ``query`` and of each node exceeds, rounding included."""
+        bound = centers @ query.center + query.norm * radii + norms * query.radius + radii * query.radius
+        return bound + 1e-9 * (np.abs(bound) + (query.norm + query.radius) * (norms + radii)) + 1e-6
+
+    def _score(self, query: Node, nodes: list[Node]) -> None:
+        """All pairs of the points of a query node and of some leaves."""
+        places = np.concatenate([np.arange(n.first, n.last) for n in nodes])
+        for start in range(0, len(places), 2 * BATCH):
+            columns = places[start:start + 2 * BATCH]
             rows = np.arange(query.first, query.last)
             got = self.queries[rows] @ self.points[columns].T
             got = np.where(self.query_ids[rows][:, None] == self.ids[columns][None, :], -np.inf, got)
             better = (got >= self.scores[rows, -1:]).any(axis=1)
-            rows, got = rows[better], got[better]
-            if not len(rows):
-                continue
-            scores = np.concatenate([self.scores[rows], got], axis=1)
-            ids = np.concatenate([self.best[rows], np.broadcast_to(self.ids[columns], got.shape)], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :self.k] if scores.dtype != object else np.array(
-                [sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:self.k] for s, i in zip(scores, ids)])
-            self.scores[rows] = np.take_along_axis(scores, order, axis=1)
-            self.best[rows] = np.take_along_axis(ids, order, axis=1)
+            if better.any():
+                rows, got = rows[better], got[better]
+                self._keep_best(rows, np.concatenate([self.scores[rows], got], axis=1),
+                                np.concatenate([self.best[rows], np.broadcast_to(self.ids[columns], got.shape)], axis=1))
+
+    def _keep_best(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if scores.dtype == object:
+            order = [sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:self.k] for s, i in zip(scores, ids)]
+            self.scores[rows], self.best[rows] = np.take_along_axis(scores, np.array(order), 1), np.take_along_axis(ids, np.array(order), 1)
+            return
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        row, column = np.nonzero(scores >= least[:, None])  # the best and all that tie with the last of them
+        score, at = scores[row, column], ids[row, column]
+        order = np.lexsort((at, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.scores[rows[row[kept]], place[kept]] = score[order][kept]
+        self.best[rows[row[kept]], place[kept]] = at[order][kept]
 
     def table(self) -> pa.Table:
         real = self.scores > -np.inf
@@ -139,7 +169,7 @@ class DualSearch:
                          "score": pa.array([max(-2**63, min(2**63 - 1, int(s))) for s in self.scores[real.astype(bool)]], pa.int64())})
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 4096, block: int = 2048) -> DataFrame:
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 1024, block: int = 8192) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` highest integer inner products.
 
     Both inputs have ``vec_id`` and ``vector`` (whole numbers as doubles); vectors meet only those
