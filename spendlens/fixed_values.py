@@ -209,7 +209,6 @@ SOURCE_SIGNALS = {
 }
 META_ONLY_SIGNALS = ["purchase roas", "return on ad spend"]
 GOOGLE_ONLY_SIGNALS = ["conversion value", "quality score"]
-DETECTION_BYTES = 2048
 
 # ---- text operators --------------------------------------------------------------------
 HIGH_PRIORITY_WORDS = ["pause", "stop", "critical", "immediately", "urgent"]

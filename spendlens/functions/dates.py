@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
-from spendlens.functions.guards import col
+from spendlens.functions.guards import col, evaluated_once
 
 DAY_MONTH = r"^(\d{1,2})[-/\.](\d{1,2})[-/\.]\d{2,4}$"
 WEEK = r"^[Ww](?:eek\s*|[Kk]\s*)?\d{1,2}"
@@ -40,11 +40,6 @@ LABEL_SHAPES = {
 }
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it by name, keeping long expressions small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _int(text: Column) -> Column:
     return text.try_cast("int")
 
@@ -129,7 +124,7 @@ def period_start(value: Column | str, fy_start_month: int = 4, as_of_year: int |
     """
     text = F.trim(col(value).cast("string"))
     label = F.struct(_shape(text, LABEL_SHAPES).alias("shape"), _parts(text).alias("parts"))
-    return _let(label, lambda p: F.when(p["shape"].isNotNull(), _period_of(p, fy_start_month, as_of_year)))
+    return evaluated_once(label, lambda p: F.when(p["shape"].isNotNull(), _period_of(p, fy_start_month, as_of_year)))
 
 
 def parse_date(value: Column | str, day_first: Column | None = None, as_of_year: int | None = None,
@@ -138,7 +133,7 @@ def parse_date(value: Column | str, day_first: Column | None = None, as_of_year:
     text = F.trim(col(value).cast("string"))
     order = F.lit(True) if day_first is None else F.coalesce(day_first, F.lit(True))
     cell = F.struct(_shape(text, DATE_SHAPES).alias("shape"), _parts(text).alias("parts"), order.alias("day_first"))
-    date = _let(cell, lambda c: F.when(c["shape"].isNotNull(), _date_of(c)))
+    date = evaluated_once(cell, lambda c: F.when(c["shape"].isNotNull(), _date_of(c)))
     known = ~F.lower(text).isin(fx.DATE_NULL_WORDS)
     return F.when(known, F.coalesce(date, period_start(text, fy_start_month, as_of_year)))
 

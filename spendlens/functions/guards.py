@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def evaluated_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name, keeping long expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ratio(num: Column | str, den: Column | str, default: float | None = 0.0) -> Column:
     """``num / den``; ``default`` when the denominator is zero or missing."""
     num, den = col(num), col(den)
@@ -63,8 +69,9 @@ def count_where(condition: Column) -> Column:
 
 
 def total(value: Column | str) -> Column:
-    """Sum taken in decimal, so it does not depend on the order partitions are combined in."""
-    return F.sum(col(value).cast("decimal(20,4)")).cast("double")
+    """Sum taken in wide decimals (millionths, up to 32 digits before them), so it does not depend on
+    the order partitions are combined in; larger values stay null instead of ending the job."""
+    return F.sum(col(value).try_cast("decimal(38,6)")).cast("double")
 
 
 def mean(value: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
-from spendlens.functions.guards import col
+from spendlens.functions.guards import col, evaluated_once
 
 DECORATION = "₹$€£%, \t\n\r\x0b\x0c\xa0"
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -18,30 +18,35 @@ def _number(text: Column) -> Column:
 
 
 def clean_numeric(value: Column | str) -> Column:
-    """Text to double: currency, percent and separators stripped, K/M/L/Cr/B expanded, junk 0.
+    """Text to double: currency, percent and separators stripped, K/M/L/Cr/B expanded, junk 0."""
+    return numeric_cell(value)["value"]
 
-    Null words hold no number and end at 0 like any other junk; the pattern for shorthand is
-    only tried on cells that are not numbers once stripped, and plain numbers skip both.
+
+def numeric_cell(value: Column | str) -> Column:
+    """Cleaned ``value`` of a cell and whether it ``changed``, i.e. was not the plain number already.
+
+    Null words hold no number and end at 0 like any other junk. Each step of the way is evaluated
+    once: a plain number is taken as it is, then the stripped text, then its shorthand.
     """
+    factors = F.create_map(*[F.lit(x) for pair in fx.SHORTHAND_FACTORS.items() for x in pair])
+
+    def short(text: Column) -> Column:
+        factor = F.coalesce(F.try_element_at(factors, F.lower(F.regexp_extract(text, fx.SHORTHAND_PATTERN, 2))), F.lit(1.0))
+        digits = F.regexp_extract(text, fx.SHORTHAND_PATTERN, 1)
+        return F.when(digits != "", digits.try_cast("double") * factor)
+
+    def decorated(text: Column) -> Column:
+        return evaluated_once(F.translate(text, DECORATION, ""), lambda t: F.coalesce(_number(t), short(t), F.lit(0.0)))
+
+    def cell(text: Column, plain: Column) -> Column:
+        same = plain.isNotNull()
+        return F.struct(F.when(same, plain).otherwise(decorated(text)).alias("value"), (~same).alias("changed"))
+
     text = col(value).cast("string")
-    stripped = F.translate(text, DECORATION, "")
-    suffix = F.lower(F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 2))
-    factor = F.lit(1.0)
-    for letter, size in fx.SHORTHAND_FACTORS.items():
-        factor = F.when(suffix == letter, F.lit(size)).otherwise(factor)
-    digits = F.regexp_extract(stripped, fx.SHORTHAND_PATTERN, 1)
-    short = F.when(digits != "", digits.try_cast("double") * factor)
-    return F.coalesce(_number(F.trim(text)), _number(stripped), short, F.lit(0.0))
+    return evaluated_once(F.struct(text.alias("text"), _number(F.trim(text)).alias("plain")), lambda c: cell(c["text"], c["plain"]))
 
 
 def clean_web_numeric(value: Column | str) -> Column:
     """Web-analytics cells: everything but digits, dot and minus is dropped; nothing left is 0."""
     digits = F.regexp_replace(col(value).cast("string"), r"[^0-9.\-]", "")
     return F.coalesce(_number(digits), F.lit(0.0))
-
-
-def cell_changed(raw: Column | str, cleaned: Column) -> Column:
-    """True when the text was not already the plain number it was cleaned to."""
-    raw = col(raw).cast("string")
-    same = _number(F.trim(raw)) == cleaned
-    return ~F.coalesce(same, F.lit(False))

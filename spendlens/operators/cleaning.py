@@ -11,10 +11,6 @@ from spendlens import fixed_values as fx
 from spendlens.functions import dates, numbers
 from spendlens.functions.guards import col, count_where
 from spendlens.operators import columns as headers
-from spendlens.session import stored
-
-
-BROADCAST_CELLS = 200_000  # distinct date cells, about 10 MB
 
 
 @dataclass(frozen=True)
@@ -49,55 +45,34 @@ def date_columns(names: list[str]) -> list[str]:
     return [c for c in names if any(word in c.lower() for word in fx.DATE_WORDS)]
 
 
-def date_dictionary(df: DataFrame, file: str, ordinal: str, names: list[str], as_of_year: int | None = None) -> DataFrame:
-    """Every distinct date cell per file and column with its ISO form.
+def day_first_votes(df: DataFrame, file: str, ordinal: str, names: list[str]) -> DataFrame:
+    """Per file the order of day and month of each date column, null where no cell tells.
 
-    The first cell that can only be read one way decides the order of day and month for its
-    whole file column; without one the day comes first.
+    The first cell that can only be read one way decides for its whole file column.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("raw")) for c in names])
-    distinct = (
-        df.select(file, F.col(ordinal).alias("place"), F.explode(cells).alias("cell"))
-        .where(F.col("cell.raw").isNotNull())
-        .groupBy(file, "cell.column", "cell.raw").agg(F.min("place").alias("place"))
-        .withColumn("vote", dates.shows_day_first("raw"))
-    )
-    distinct = stored(distinct)
-    order = distinct.where(F.col("vote").isNotNull()).groupBy(file, "column").agg(F.min_by("vote", "place").alias("day_first"))
-    return distinct.join(order, [file, "column"], "left").select(
-        file, "column", "raw", dates.normalize_date("raw", F.col("day_first"), as_of_year).alias("clean")
-    )
+    votes = df.select(file, F.col(ordinal).alias("place"), *[dates.shows_day_first(f"`{c}`").alias(f"vote {c}") for c in names])
+    return votes.groupBy(file).agg(*[
+        F.min_by(f"vote {c}", F.when(F.col(f"vote {c}").isNotNull(), F.col("place"))).alias(f"day first {c}") for c in names])
 
 
 def normalize_dates(df: DataFrame, file: str, ordinal: str, as_of_year: int | None = None) -> DataFrame:
-    """Normalise every date-like column; each file's own day/month order applies.
+    """Normalise every date-like column; each file's own day/month order applies, day first without one.
 
-    Only distinct cells are parsed; rows look their value up. The dictionary is broadcast
-    while it is known to be small and joined by key beyond that.
+    One light aggregate finds the order per file; cells are parsed in the row.
     """
     names = [c for c in date_columns(df.columns) if c not in (file, ordinal)]
     if not names:
         return df
-    dictionary = stored(date_dictionary(df, file, ordinal, names, as_of_year))
-    small = dictionary.count() <= BROADCAST_CELLS
-    rows = df
-    for name in names:
-        words = dictionary.where(F.col("column") == name).select(file, F.col("raw").alias(name), F.col("clean").alias(f"clean {name}"))
-        rows = rows.join(F.broadcast(words) if small else words, [file, name], "left")
-    differs = {f"changed {c}": F.coalesce(F.col(f"`{c}`") != F.col(f"`clean {c}`"), F.lit(False)) for c in names}
-    cleaned = rows.withColumns(differs).withColumns({c: F.col(f"`clean {c}`") for c in names})
-    marks = [f"changed {c}" for c in names]
-    return cleaned.select(*[F.col(f"`{c}`") for c in [*df.columns, *marks]])
-
-
-def _replace_cells(df: DataFrame, cleaned: dict[str, Column], differs: dict[str, Column]) -> DataFrame:
-    """Swap cells for their cleaned values, computed once, and mark the ones that changed."""
-    return (
-        df.withColumns({f"clean {c}": v for c, v in cleaned.items()})
-        .withColumns({f"changed {c}": d for c, d in differs.items()})
-        .withColumns({c: F.col(f"`clean {c}`") for c in cleaned})
-        .drop(*[f"clean {c}" for c in cleaned])
-    )
+    votes = day_first_votes(df, file, ordinal, names).withColumnRenamed(file, "voted file")
+    rows = df.join(votes, F.col(f"`{file}`").eqNullSafe(F.col("`voted file`")), "left")
+
+    def parsed(name: str) -> Column:
+        clean = dates.normalize_date(f"`{name}`", F.col(f"`day first {name}`"), as_of_year)
+        return F.struct(clean.alias("value"), F.col(f"`{name}`").cast("string").alias("raw"))
+
+    cells = rows.withColumns({f"cell {c}": parsed(c) for c in names})
+    differs = [F.coalesce(F.col(f"`cell {c}`.value") != F.col(f"`cell {c}`.raw"), F.lit(False)).alias(f"changed {c}") for c in names]
+    return cells.select(*[F.col(f"`cell {c}`.value").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns], *differs)
 
 
 def flagged_export(df: DataFrame, source: Source, file: str, ordinal: str,
@@ -106,9 +81,9 @@ def flagged_export(df: DataFrame, source: Source, file: str, ordinal: str,
     ``changed <column>`` which cells were altered. Numbers are cleaned before the zero-spend test."""
     mapped = headers.map_columns(df, source.aliases, pre_rename)
     names = [c for c in source.numeric if c in mapped.columns]
-    cleaned = {c: numbers.clean_numeric(f"`{c}`") for c in names}
-    differs = {c: numbers.cell_changed(f"`{c}`", F.col(f"`clean {c}`")) for c in names}
-    rows = _replace_cells(mapped, cleaned, differs) if names else mapped
+    cells = mapped.withColumns({f"cell {c}": numbers.numeric_cell(f"`{c}`") for c in names})
+    rows = cells.select(*[F.col(f"`cell {c}`.value").alias(c) if c in names else F.col(f"`{c}`") for c in mapped.columns],
+                        *[F.col(f"`cell {c}`.changed").alias(f"changed {c}") for c in names])
     dropped = F.lit(None).cast("string")
     if source.spend and source.spend in mapped.columns:
         dropped = F.when(F.col(f"`{source.spend}`") == 0, "zero spend").otherwise(dropped)

@@ -175,14 +175,14 @@ def user_totals(facts: DataFrame) -> DataFrame:
 
 
 def misclassified_spend(facts: DataFrame) -> DataFrame:
-    """Large rows that mostly reach known users although their name does not say so."""
+    """All rows that mostly reach known users although their name does not say so."""
     pct = zero_if_null("pct_new_users")
     flag = F.concat(
         F.lit("Mostly returning users ("), fmt.decimals(pct, 0),
         F.lit("% new) — budget may be retargeting, not acquiring."),
     )
     named = contains_any(F.lower("campaign_name"), fx.RETARGETING_WORDS)
-    return user_split(facts).where((pct < 20) & ~named).select(
+    return facts.where(F.col("new_users").isNotNull() & (pct < 20) & ~named).select(
         "client_id", "upload_id", "campaign_name", "platform", pct.alias("pct_new_users"), flag.alias("flag")
     )
 
@@ -242,16 +242,16 @@ def top_spenders(facts: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def period_pivot(facts: DataFrame, ranks: list[int]) -> DataFrame:
-    """Up to four uploads side by side per campaign; ``ranks`` count back from the latest (0)."""
+    """Uploads side by side per campaign; ``ranks`` count back from the latest (0)."""
     chosen = facts.withColumn("back", (F.col("upload_count") - F.col("upload_rank")).cast("int")).where(
-        F.col("back").isin(ranks[:4])
+        F.col("back").isin(ranks)
     )
     metrics = ["spend", "roas", "cac", "ctr", "conversions", "severity"]
-    wide = chosen.groupBy("client_id", "campaign_name", "platform").pivot("back", ranks[:4]).agg(
+    wide = chosen.groupBy("client_id", "campaign_name", "platform").pivot("back", ranks).agg(
         *[F.first(c).alias(c) for c in metrics]
     )
     renamed = [
         (F.col(f"`{r}_{m}`") if m == "severity" else rnd(f"`{r}_{m}`", 2)).alias(f"p{r}_{m}")
-        for r in ranks[:4] for m in metrics
+        for r in ranks for m in metrics
     ]
     return wide.select("client_id", "campaign_name", "platform", *renamed)

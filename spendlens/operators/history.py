@@ -38,7 +38,8 @@ def chunked_rank(df: DataFrame, keys: list[str], chunk: Column, order: list[str]
 
 def rank_uploads(uploads: DataFrame, day: str = "period_date") -> DataFrame:
     """Number each client's uploads by (day, upload_id), oldest first, split by calendar year."""
-    ranked = chunked_rank(uploads, ["client_id"], F.year(day), [day, "upload_id"], "upload_rank")
+    # uploads without a day come first and have a chunk of their own: chunks are joined by equality
+    ranked = chunked_rank(uploads, ["client_id"], F.coalesce(F.year(day), F.lit(-1)), [F.asc_nulls_first(day), F.asc("upload_id")], "upload_rank")
     return ranked.withColumnRenamed("upload_rank_total", "upload_count")
 
 

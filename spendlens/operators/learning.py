@@ -12,7 +12,6 @@ from spendlens.functions.medians import exact_medians
 from spendlens.operators import history
 
 BENCHMARKED = ["roas", "cpc", "cac", "ctr", "spend"]
-MAX_LATER_UPLOADS = 5
 
 
 def client_benchmarks(campaigns: DataFrame) -> DataFrame:
@@ -90,10 +89,11 @@ def with_uploads_until(items: DataFrame, uploads: DataFrame, day: str) -> DataFr
     return items.join(counted, ["client_id", day])
 
 
-def action_impact(items: DataFrame, uploads: DataFrame, campaigns: DataFrame, as_of: date) -> DataFrame:
-    """Metrics after an action was done against its snapshot, in the last of the first five later uploads."""
+def action_impact(items: DataFrame, uploads: DataFrame, campaigns: DataFrame, as_of: date, later_uploads: int = 5) -> DataFrame:
+    """Metrics after an action was done against its snapshot, in the last of the first ``later_uploads``
+    uploads after it (five uploads are about as long as an action's effect can be told from others)."""
     placed = with_uploads_until(items.where(F.col("done_on").isNotNull() & F.col("campaign").isNotNull()), uploads, "done_on")
-    later = F.least(F.lit(MAX_LATER_UPLOADS), F.col("uploads_total") - F.col("uploads_until"))
+    later = F.least(F.lit(later_uploads), F.col("uploads_total") - F.col("uploads_until"))
     placed = placed.withColumn("uploads_after", later).where(F.col("uploads_after") > 0).withColumn(
         "upload_rank", F.col("uploads_until") + F.col("uploads_after")
     )

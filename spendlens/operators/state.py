@@ -26,8 +26,8 @@ def unread_count(items: DataFrame) -> DataFrame:
 
 
 def text_hash(client: Column, text: Column) -> Column:
-    """Identity of an action item: client and the first 200 characters of its text."""
-    return F.md5(F.concat(client.cast("string"), F.lit(":"), F.substring(text, 1, 200)))
+    """Identity of an action item: client and its whole text."""
+    return F.md5(F.concat(client.cast("string"), F.lit(":"), text))
 
 
 def with_hash(actions: DataFrame) -> DataFrame:

@@ -36,9 +36,8 @@ def unbold(text: Column) -> Column:
     return F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1")
 
 
-def _items(html: Column, limit: int) -> Column:
-    found = F.regexp_extract_all(html, F.lit(LIST_ITEM), F.lit(1))
-    return F.transform(F.slice(found, 1, limit), plain)
+def _items(html: Column) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(LIST_ITEM), F.lit(1)), plain)
 
 
 def action_priority(text: Column | str) -> Column:
@@ -50,24 +49,24 @@ def action_priority(text: Column | str) -> Column:
 
 
 def report_actions(reports: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """Bullets among the first fifteen list items that are long enough, with a priority."""
-    bullets = F.filter(_items(F.col(html), 15), lambda t: F.length(t) > 15)
+    """All list items that are long enough, with their position and a priority; callers filter by position."""
+    bullets = F.filter(_items(F.col(html)), lambda t: F.length(t) > 15)
     rows = reports.select(*keys, F.posexplode(bullets).alias("position", "text"))
     return rows.withColumn("priority", action_priority("text"))
 
 
 def recommendation_bullets(reports: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """The first ten bullets of the recommendation part, or of the whole report without one."""
+    """All bullets of the recommendation part, or of the whole report without one."""
     part = F.regexp_extract(html, RECOMMENDATION_PART, 2)
     searched = F.when(F.col(html).rlike(RECOMMENDATION_PART), part).otherwise(F.col(html))
-    bullets = F.filter(_items(searched, 10), lambda t: t != "")
+    bullets = F.filter(_items(searched), lambda t: t != "")
     return reports.select(*keys, F.posexplode(bullets).alias("position", "text"))
 
 
 def budget_rows(reports: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """Campaign, platform, action and reason of the first eight rows of a budget table."""
+    """Campaign, platform, action and reason of all rows of budget tables."""
     groups = [F.regexp_extract_all(html, F.lit(BUDGET_ROW), F.lit(i)) for i in (1, 2, 3, 4)]
-    zipped = F.slice(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abcd")]), 1, 8)
+    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abcd")])
 
     def cell(value: Column) -> Column:
         return strip(F.regexp_replace(value, r"<[^>]+>", ""))
@@ -109,7 +108,7 @@ def report_sections(reports: DataFrame, markdown: str) -> DataFrame:
 
 
 def recommendations(reports: DataFrame, keys: list[str], raw: str) -> DataFrame:
-    """The first five numbered recommendations: title, labelled bullets and prose."""
+    """All numbered recommendations: title, labelled bullets and prose."""
     blocks = F.split(strip(raw), NUMBERED)
 
     def parse(block: Column) -> Column:
@@ -127,7 +126,7 @@ def recommendations(reports: DataFrame, keys: list[str], raw: str) -> DataFrame:
 
     filled = F.filter(blocks, lambda b: strip(b) != "")
     parsed = F.filter(F.transform(filled, parse), lambda r: F.coalesce(r["title"], F.lit("")) != "")
-    return reports.select(*keys, F.posexplode(F.slice(parsed, 1, 5)).alias("position", "item")).select(*keys, "position", "item.*")
+    return reports.select(*keys, F.posexplode(parsed).alias("position", "item")).select(*keys, "position", "item.*")
 
 
 def _section(text: Column, heading: str) -> Column:

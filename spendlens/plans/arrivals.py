@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from spendlens.plans.registry import query
 from spendlens.session import shared_folder
-from spendlens.sources import model
-from spendlens.streaming import arrivals, rolling
+from spendlens.sources import exports, model
+from spendlens.streaming import arrivals, rolling, state
 
 
 def _rolling_sql(days: int) -> str:
@@ -28,13 +28,23 @@ def rolling_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.rolling_kpis(model.table(spark, sf, "events"))
 
 
+@query("rolling_kpis_30", _rolling_sql(30), views=False)
+def rolling_kpis_30(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling.rolling_kpis(model.table(spark, sf, "events"), 30)
+
+
+@query("rolling_kpis_90", _rolling_sql(90), views=False)
+def rolling_kpis_90(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling.rolling_kpis(model.table(spark, sf, "events"), 90)
+
+
 @query("streamed_rolling_kpis", _rolling_sql(7), views=False)
 def streamed_rolling_kpis(spark: SparkSession, sf: str) -> DataFrame:
     """The same windows, kept up to date by a stream over the event files."""
     home = f"{shared_folder(spark)}/rolling/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(model.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rolling.write_rolling(rolling.rolling_kpis(stream), f"{home}/kpis", f"{home}/checkpoint")
-    return spark.read.parquet(f"{home}/kpis")
+    rolling.write_daily(stream, f"{home}/daily", f"{home}/checkpoint")
+    return rolling.roll(rolling.read_daily(spark, f"{home}/daily"))
 
 
 @query("streamed_exports", """
@@ -52,7 +62,89 @@ def streamed_exports(spark: SparkSession, sf: str) -> DataFrame:
     ).write.option("header", True).csv(f"{home}/inbox")
     stream = arrivals.export_stream(spark, f"{home}/inbox")
     arrivals.run_available(stream, arrivals.arrival_pipeline(f"{home}/tables"), f"{home}/checkpoint")
-    return arrivals.stored_table(spark, f"{home}/tables", "campaigns").select(
+    return arrivals.current_facts(spark, f"{home}/tables").select(
         "client_id", "upload_id", "campaign_name", "spend", "conversion_value", "conversions", "roas", "cac", "ctr", "cpc",
         "severity", "wasted_spend",
     )
+
+
+@query("streamed_replacement", """
+SELECT client_id, period_date, campaign_name, spend * 2 AS spend FROM campaigns WHERE platform = 'google' AND spend > 0""")
+def streamed_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    """Every period sent twice, the second time with doubled spend: only the second sending counts."""
+    home = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    facts = model.campaigns(spark, sf).where("platform = 'google'")
+    for factor in (1, 2):
+        facts.select(
+            "client_id", "upload_id", F.date_format("period_date", "dd/MM/yyyy").alias("period_start"), F.col("campaign_name").alias("Campaign"),
+            F.lit("1").alias("Impr."), F.lit("1").alias("Clicks"), F.format_number(F.col("spend") * factor, 3).alias("Cost (INR)"),
+            F.lit("1").alias("Conv."), F.lit("1").alias("Conv. value"),
+        ).write.mode("append").option("header", True).csv(f"{home}/inbox")
+        stream = arrivals.export_stream(spark, f"{home}/inbox")
+        arrivals.run_available(stream, arrivals.arrival_pipeline(f"{home}/tables"), f"{home}/checkpoint")
+    return arrivals.current_facts(spark, f"{home}/tables").select("client_id", "period_date", "campaign_name", "spend")
+
+
+@query("streamed_comparison", """
+WITH f AS (SELECT client_id, platform, campaign_name, upload_id, period_date, roas, spend FROM campaigns WHERE period_date IS NOT NULL),
+p AS (SELECT DISTINCT client_id, platform, campaign_name, period_date, arg_max(roas, upload_id) AS roas, arg_max(spend, upload_id) AS spend FROM f
+      GROUP BY client_id, platform, campaign_name, period_date)
+SELECT f.client_id, f.platform, f.campaign_name, f.upload_id, f.roas, p.roas AS prior_roas, f.spend, p.spend AS prior_spend
+FROM f ASOF LEFT JOIN p ON f.client_id = p.client_id AND f.platform = p.platform AND f.campaign_name = p.campaign_name AND f.period_date > p.period_date""")
+def streamed_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Each campaign next to its previous period, from facts that arrive as a stream."""
+    home = f"{shared_folder(spark)}/comparison/{uuid.uuid4().hex}"
+    facts = model.campaigns(spark, sf).select(*state.KEYS, "upload_id", "period_date", "roas", "spend")
+    facts.write.parquet(f"{home}/facts")
+    stream = state.compare_with_previous(spark.readStream.schema(facts.schema).parquet(f"{home}/facts"))
+    running = stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{home}/out")
+
+
+def _inbox(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/inbox/{uuid.uuid4().hex}"
+
+
+MARKED = "CASE WHEN upload_id % 3 = 0 THEN '#' ELSE '' END || campaign_name"
+
+
+@query("read_client_exports", f"""
+SELECT {MARKED} AS campaign, CAST(CAST(clicks AS BIGINT) AS VARCHAR) AS clicks, CAST(CAST(impressions AS BIGINT) AS VARCHAR) AS impressions,
+  CASE WHEN client_id % 2 = 0 THEN CAST(upload_id AS VARCHAR) END AS upload FROM campaigns""")
+def read_client_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports whose files order their columns differently, some with names that start with ``#``."""
+    home = _inbox(spark)
+    name = F.concat(F.when(F.col("upload_id") % 3 == 0, "#").otherwise(""), "campaign_name")
+    rows = model.campaigns(spark, sf).select("client_id", name.alias("campaign"), F.col("clicks").cast("long").alias("clicks"),
+                                             F.col("impressions").cast("long").alias("impressions"), F.col("upload_id").alias("upload"))
+    even = rows.where("client_id % 2 = 0").select("campaign", "impressions", "upload", "clicks")
+    even.write.option("header", True).csv(f"{home}/even")
+    rows.where("client_id % 2 <> 0").select("clicks", "campaign", "impressions").write.option("header", True).csv(f"{home}/odd")
+    return exports.read_ads_csv(spark, home).select("campaign", "clicks", "impressions", "upload")
+
+
+@query("read_web_export", f"""
+SELECT {MARKED} AS campaign, CAST(CAST(clicks AS BIGINT) AS VARCHAR) AS sessions FROM campaigns""")
+def read_web_export(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per client: comments, a header, rows that may start with ``#``, a closing total."""
+    home = _inbox(spark)
+    name = F.concat(F.when(F.col("upload_id") % 3 == 0, "#").otherwise(""), "campaign_name")
+    rows = model.campaigns(spark, sf).select("client_id", F.lit(3).alias("at"), F.concat_ws(",", name, F.col("clicks").cast("long").cast("string")).alias("value"))
+    extra = F.explode(F.array(*[F.struct(F.lit(at).alias("at"), F.lit(text).alias("value")) for at, text in (
+        (0, "# Web analytics"), (1, "# all clients"), (2, "campaign,sessions"), (4, "Total,1"))])).alias("line")
+    framed = rows.unionByName(rows.select("client_id").distinct().select("client_id", extra).select("client_id", "line.at", "line.value"))
+    framed.repartition("client_id").sortWithinPartitions("client_id", "at").select("client_id", "value").write.partitionBy("client_id").text(home)
+    return exports.read_web_csv(spark, home).select("campaign", "sessions")
+
+
+@query("read_bulk_export", f"""
+SELECT 'client ' || client_id AS client, {MARKED} AS campaign, CAST(CAST(clicks AS BIGINT) AS VARCHAR) AS clicks FROM campaigns WHERE upload_id % 5 <> 0""")
+def read_bulk_export(spark: SparkSession, sf: str) -> DataFrame:
+    """One export of many clients; rows without a client do not count."""
+    home = _inbox(spark)
+    name = F.concat(F.when(F.col("upload_id") % 3 == 0, "#").otherwise(""), "campaign_name")
+    client = F.when(F.col("upload_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("client "), F.col("client_id")))
+    model.campaigns(spark, sf).select(name.alias("campaign"), client.alias("Account Name"), F.col("clicks").cast("long").alias("clicks")).write.option(
+        "header", True).csv(home)
+    return exports.read_bulk(spark, home).select("client", "campaign", "clicks")

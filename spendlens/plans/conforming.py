@@ -41,8 +41,7 @@ def clean_numeric(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("5c"), F.lit("N/A"),
     ])
     rows = model.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), cell.alias("cell"))
-    value = numbers.clean_numeric("cell")
-    return rows.select("k", value.alias("value"), numbers.cell_changed("cell", value).alias("changed"))
+    return rows.select("k", numbers.numeric_cell("cell").alias("cell")).select("k", "cell.value", "cell.changed")
 
 
 DATE_FILES = "CASE l_returnflag WHEN 'R' THEN 'us.csv' ELSE l_returnflag || '.csv' END"

@@ -139,10 +139,10 @@ def user_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("misclassified_spend", f"""
-WITH {SPLIT} SELECT client_id, upload_id, campaign_name, platform, coalesce(pct_new_users, 0) AS pct_new_users,
+SELECT client_id, upload_id, campaign_name, platform, coalesce(pct_new_users, 0) AS pct_new_users,
   'Mostly returning users (' || printf('%.0f', round(coalesce(pct_new_users, 0)))
     || '% new) — budget may be retargeting, not acquiring.' AS flag
-FROM u WHERE coalesce(pct_new_users, 0) < 20
+FROM campaigns WHERE new_users IS NOT NULL AND coalesce(pct_new_users, 0) < 20
   AND NOT regexp_matches(lower(campaign_name), 'retarget|remarketing|cart|abandon|returning|existing')""")
 def misclassified_spend(spark: SparkSession, sf: str) -> DataFrame:
     return dashboard.misclassified_spend(model.campaigns(spark, sf))

@@ -16,7 +16,7 @@ HIGH, MEDIUM = "|".join(fx.HIGH_PRIORITY_WORDS), "|".join(fx.MEDIUM_PRIORITY_WOR
 
 
 @query("report_actions", f"""
-WITH i AS (SELECT page_id, list_filter(list_transform(list_slice(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), 1, 15),
+WITH i AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1),
     lambda x: {PLAIN.format(x='x')}), lambda t: length(t) > 15) AS items FROM pages),
 u AS (SELECT page_id, unnest(items) AS text, generate_subscripts(items, 1) - 1 AS position FROM i)
 SELECT page_id, CAST(position AS INTEGER) AS position, text, CASE WHEN regexp_matches(lower(text), '{HIGH}') THEN 'high'
@@ -30,7 +30,7 @@ PART = r'''(?is)(recommendation|action|priorit)[^<]*</[^>]+>(.*?)(</section|<h[1
 
 @query("recommendation_bullets", f"""
 WITH p AS (SELECT page_id, CASE WHEN regexp_matches(html, '{PART}') THEN regexp_extract(html, '{PART}', 2) ELSE html END AS part FROM pages),
-i AS (SELECT page_id, list_filter(list_transform(list_slice(regexp_extract_all(part, '(?is)<li[^>]*>(.*?)</li>', 1), 1, 10),
+i AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(part, '(?is)<li[^>]*>(.*?)</li>', 1),
     lambda x: {PLAIN.format(x='x')}), lambda t: t <> '') AS items FROM p)
 SELECT page_id, unnest(items) AS text, CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS position FROM i""", views=False)
 def recommendation_bullets(spark: SparkSession, sf: str) -> DataFrame:

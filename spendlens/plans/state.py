@@ -17,7 +17,7 @@ STATUS_OF = {"click": "viewed", "purchase": "resolved", "error": "dismissed"}
 STATUS = """
 items AS (SELECT DISTINCT user_id AS item_id, CAST((user_id // 20) % 25 AS BIGINT) AS client_id FROM events),
 log AS (SELECT user_id AS item_id, event_id, ts, CASE event_type WHEN 'click' THEN 'viewed' WHEN 'purchase' THEN 'resolved'
-    WHEN 'error' THEN 'dismissed' END AS status FROM events WHERE event_type IN ('click', 'purchase', 'error') AND value >= 150),
+    WHEN 'error' THEN 'dismissed' END AS status FROM events WHERE event_type IN ('click', 'purchase', 'error')),
 status AS (SELECT item_id, client_id, coalesce(s, 'new') AS status FROM items
   LEFT JOIN (SELECT item_id, arg_max(status, (ts, event_id)) AS s FROM log GROUP BY item_id) USING (item_id))"""
 
@@ -28,7 +28,7 @@ def item_status(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("item_id"), (F.floor(F.col("user_id") / 20) % 25).cast("long").alias("client_id")
     ).distinct()
     status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])[F.col("event_type")]
-    log = events.where(F.col("event_type").isin(*STATUS_OF) & (F.col("value") >= 150)).select(
+    log = events.where(F.col("event_type").isin(*STATUS_OF)).select(
         F.col("user_id").alias("item_id"), "event_id", F.col("ts").alias("at"), status.alias("status")
     )
     return state.current_status(items, log, "new")
@@ -51,7 +51,7 @@ def unread_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 PROPOSED = f"""{AUDIT},
 proposed AS (SELECT client_id, action AS text, priority, campaign, platform, upload_id,
-    md5(client_id || ':' || left(action, 200)) AS text_hash,
+    md5(client_id || ':' || action) AS text_hash,
     upload_id = max(upload_id) OVER (PARTITION BY client_id) AS is_latest, (upload_id, platform, check_order) AS arrival
   FROM checks WHERE status <> 'pass' AND action IS NOT NULL)"""
 
@@ -112,10 +112,10 @@ def cleared_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("duplicate_uploads", """
 SELECT upload_id + 500 AS upload_id, client_id, period_start, period_end, upload_id AS existing_upload_id
-FROM uploads WHERE period_start IS NOT NULL AND year(period_start) >= 2000""")
+FROM uploads WHERE period_start IS NOT NULL""")
 def duplicate_uploads(spark: SparkSession, sf: str) -> DataFrame:
     known = model.uploads(spark, sf)
-    incoming = known.where(F.year("period_start") >= 2000).select(
+    incoming = known.where(F.col("period_start").isNotNull()).select(
         (F.col("upload_id") + 500).alias("upload_id"), "client_id", "period_start", "period_end"
     )
     return state.duplicate_uploads(incoming, known)

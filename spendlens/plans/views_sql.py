@@ -152,7 +152,7 @@ def expand_sums(sql: str) -> str:
                 depth += {"(": 1, ")": -1}.get(sql[end], 0)
                 end += 1
             inner = sql[start + 5:end - 1]
-            total = f"CAST(sum(CAST({inner} AS DECIMAL(20,4))) AS DOUBLE)"
+            total = f"CAST(sum(CAST({inner} AS DECIMAL(38,6))) AS DOUBLE)"
             sql = sql[:start] + text.format(s=total, x=inner) + sql[end:]
     return sql
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,21 +34,36 @@ def build_session(master: str | None = None, app: str = "spendlens", **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
+    """This run's own folder below the one that every executor can reach, ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own. The folder is
+    removed when the program ends.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    if "folder" not in _LOCAL:
-        _LOCAL["folder"] = tempfile.mkdtemp(prefix="spendlens-")
-    return _LOCAL["folder"]
+    context = spark.sparkContext
+    if context.applicationId not in _RUNS:
+        configured = spark.conf.get(CHECKPOINT_KEY, None)
+        if not configured:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+            configured = tempfile.mkdtemp(prefix="spendlens-")
+        _RUNS[context.applicationId] = f"{configured.rstrip('/')}/spendlens-{context.applicationId}"
+        atexit.register(remove_run_folder, spark, context.applicationId)
+    return _RUNS[context.applicationId]
 
 
-_LOCAL: dict[str, str] = {}
+_RUNS: dict[str, str] = {}
+
+
+def remove_run_folder(spark: SparkSession, run: str) -> None:
+    """Delete what a run stored, through Spark's file system while the session lives, else as a local folder."""
+    folder = _RUNS.pop(run, None)
+    if folder is None:
+        return
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    elif "://" not in folder or folder.startswith("file://"):
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def stored(df: DataFrame) -> DataFrame:

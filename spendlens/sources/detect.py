@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
 from spendlens.functions.guards import contains_any
-from spendlens.sources.exports import read_heads
+from spendlens.sources.exports import read_signals
 
 PLATFORMS = list(fx.SOURCE_SIGNALS)
 
@@ -46,5 +46,6 @@ def detect(df: DataFrame, text: str) -> DataFrame:
 
 
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
-    """Classify every file under ``path`` by its first two kilobytes."""
-    return detect(read_heads(spark, path, fx.DETECTION_BYTES), "text").drop("text")
+    """Classify every file under ``path`` by its whole content."""
+    signals = {s for weights in fx.SOURCE_SIGNALS.values() for s, _ in weights} | {*fx.META_ONLY_SIGNALS, *fx.GOOGLE_ONLY_SIGNALS}
+    return detect(read_signals(spark, path, sorted(signals)), "text").drop("text")

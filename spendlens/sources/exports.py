@@ -2,35 +2,78 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spendlens.operators.columns import split_strategy
 
 FILE, ORDINAL = "source_file", "row_order"
 
 
-def _with_origin(df: DataFrame) -> DataFrame:
-    """Add the file and a row order that rises through it, over all its splits."""
-    return df.select(
-        "*",
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Every line that is not blank, with its file and an order that rises through the file, over all its splits."""
+    lines = spark.read.option("encoding", encoding).option("recursiveFileLookup", True).text(path)
+    return lines.select(
         F.col("_metadata.file_path").alias(FILE),
         F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias(ORDINAL),
-    )
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
+    ).where(F.trim("line") != "")
+
+
+def _names(header: str) -> list[str]:
+    """Column names of a header line; blank and repeated ones are numbered."""
+    found: list[str] = []
+    for at, name in enumerate(next(csv.reader([header]))):
+        name = name.strip() or f"_c{at}"
+        found.append(name if name not in found else f"{name}{at}")
+    return found
+
+
+def _by_header(spark: SparkSession, path: str, encoding: str, comments: bool) -> DataFrame:
+    """All files as text columns, each read by its own header, the first line that is not blank.
+
+    With ``comments``, lines before the header that start with ``#`` are passed over; after it
+    they are data. Files with the same header are read together, and cells go to the column of
+    their name, however the files order them. The driver sees the distinct headers only.
+    """
+    lines = _lines(spark, path, encoding)
+    heads = lines.where(~F.ltrim("line").startswith("#")) if comments else lines
+    first = heads.groupBy(FILE).agg(F.min(F.struct(ORDINAL, "line")).alias("head"))
+    body = lines.join(first, FILE).where(F.col(ORDINAL) > F.col(f"head.{ORDINAL}")).withColumn("header", F.col("head.line"))
+    parts = []
+    for row in first.select(F.col("head.line").alias("header")).distinct().orderBy("header").collect():
+        names = _names(row["header"])
+        schema = StructType([StructField(n, StringType()) for n in names])
+        cells = F.from_csv("line", schema.toDDL(), {"mode": "PERMISSIVE"})
+        parts.append(body.where(F.col("header") == row["header"]).select(cells.alias("cells"), FILE, ORDINAL).select("cells.*", FILE, ORDINAL))
+    if not parts:
+        return lines.select(FILE, ORDINAL)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    columns = [c for c in whole.columns if c not in (FILE, ORDINAL)]
+    return whole.select(*[F.col(f"`{c}`") for c in columns], FILE, ORDINAL)
 
 
 def read_ads_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """Campaign export with every column as text; blank lines are skipped."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-    return _with_origin(reader.option("multiLine", multi_line).csv(path))
+    """Campaign exports with every column as text; blank lines are skipped, each file has its own header.
+
+    Cells that span lines need ``multi_line``, and then all files must share one header.
+    """
+    if not multi_line:
+        return _by_header(spark, path, encoding, comments=False)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("encoding", encoding)
+    return reader.option("multiLine", True).csv(path).select(
+        "*", F.col("_metadata.file_path").alias(FILE),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias(ORDINAL))
 
 
 def read_web_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Web-analytics export: leading ``#`` and blank lines skipped, a closing total row removed."""
-    rows = _with_origin(
-        spark.read.option("header", True).option("inferSchema", False).option("comment", "#").option("encoding", encoding).csv(path)
-    )
-    return drop_closing_total(rows)
+    """Web-analytics exports: ``#`` lines before the header skipped, a closing total row removed."""
+    return drop_closing_total(_by_header(spark, path, encoding, comments=True))
 
 
 def drop_closing_total(rows: DataFrame, file: str = FILE, ordinal: str = ORDINAL) -> DataFrame:
@@ -67,7 +110,15 @@ def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.select(*shown).limit(rows).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in shown])
 
 
-def read_heads(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """The first bytes of each file as lower-case text."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.lower(F.decode(F.substring("content", 1, size), "ISO-8859-1")).alias("text"))
+def read_signals(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
+    """Per file (``path``) the text fragments among ``signals`` that any of its lines holds, as one text.
+
+    Whole files are searched, line by line and split by split; only distinct fragments travel.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    low = lines.select(F.col("_metadata.file_path").alias("path"), F.lower("value").alias("line"))
+    hits = F.array_compact(F.array(*[F.when(F.col("line").contains(s), F.lit(s)) for s in signals]))
+    found = low.select("path", F.explode_outer(hits).alias("signal")).distinct()
+    seen = found.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("signal")), "\n").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"))
+    return files.join(seen, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens import fixed_values as fx
-from spendlens.operators import alerts, anomalies, cleaning, history, metrics, reports
+from spendlens.operators import alerts, anomalies, cleaning, history, learning, metrics, reports
 from spendlens.session import stored
 from spendlens.sources.exports import FILE, ORDINAL
 
@@ -23,15 +23,30 @@ def export_stream(spark: SparkSession, folder: str, columns: list[str] | None =
     return reader.csv(folder)
 
 
-def conform_batch(batch: DataFrame) -> DataFrame:
-    """One micro-batch of search-ads exports as fact rows."""
-    keyed = batch.withColumn(FILE, F.col("upload_id")).withColumn(ORDINAL, F.monotonically_increasing_id())
-    flagged = cleaning.flagged_export(keyed, cleaning.GOOGLE, FILE, ORDINAL)
-    ids = {"client_id": F.col("client_id").try_cast("long"), "upload_id": F.col("upload_id").try_cast("long")}
-    rows = cleaning.clean_rows(flagged).withColumns(ids)
+def with_ids(batch: DataFrame) -> DataFrame:
+    """A micro-batch with its ids as numbers and, where they are none, the ``reason`` it cannot be used."""
+    numbers = batch.withColumns({c: F.col(c).try_cast("long") for c in ("client_id", "upload_id")})
+    return numbers.withColumn("reason", F.when(F.col("client_id").isNull(), "no client").when(F.col("upload_id").isNull(), "no upload"))
+
+
+def conform_batch(batch: DataFrame, arrived_on: Column | None = None) -> DataFrame:
+    """One micro-batch of search-ads exports as fact rows.
+
+    An upload without a readable period counts for the day it arrived. Rows without ids are left
+    to ``rejected_rows``.
+    """
+    keyed = with_ids(batch).where("reason is null").drop("reason").withColumn(FILE, F.col("upload_id").cast("string")).withColumn(
+        ORDINAL, F.monotonically_increasing_id())
+    rows = cleaning.clean_rows(cleaning.flagged_export(keyed, cleaning.GOOGLE, FILE, ORDINAL))
     periods = rows.groupBy("client_id", "upload_id").agg(F.max(F.col("period_start").try_cast("date")).alias("period_start"))
     facts = metrics.canonical_google(rows).join(periods, ["client_id", "upload_id"])
-    return facts.withColumn("period_date", F.col("period_start"))
+    return facts.withColumn("period_date", F.coalesce("period_start", F.current_date() if arrived_on is None else arrived_on))
+
+
+def rejected_rows(batch: DataFrame) -> DataFrame:
+    """Rows of a micro-batch without client or upload, as they came, with the reason."""
+    whole = with_ids(batch).where("reason is not null")
+    return whole.select("reason", F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns])).alias("row"))
 
 
 def write_batch(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
@@ -43,11 +58,25 @@ def stored_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}")
 
 
+def current_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored facts in which a period that was sent again counts as sent last."""
+    facts = stored_table(spark, folder, "campaigns")
+    keys = ["client_id", "platform", "period_date"]
+    newest = facts.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return facts.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+
+
 def arrival_pipeline(folder: str) -> Callable[[DataFrame, int], None]:
-    """The work per micro-batch: conform, then append to the fact table."""
+    """The work per micro-batch: conform and store facts, rejects and the benchmarks they change."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch(conform_batch(batch), folder, "campaigns", batch_id)
+        facts = conform_batch(batch)
+        write_batch(facts, folder, "campaigns", batch_id)
+        write_batch(rejected_rows(batch), folder, "rejects", batch_id)
+        spark = batch.sparkSession
+        arrived = spark.read.parquet(f"{folder}/campaigns/batch_id={batch_id}").select("client_id").distinct()
+        theirs = current_facts(spark, folder).join(arrived, "client_id", "left_semi")
+        write_batch(learning.client_benchmarks(theirs), folder, "benchmarks", batch_id)
 
     return run
 
@@ -64,7 +93,7 @@ def checks_pipeline(folder: str, clients: DataFrame, rules: DataFrame) -> Callab
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        facts = stored_table(spark, folder, "campaigns").drop("batch_id")
+        facts = current_facts(spark, folder)
         arrived = batch.select("client_id", "upload_id").distinct()
         theirs = facts.join(arrived.select("client_id").distinct(), "client_id", "left_semi")
         uploads = theirs.select("client_id", "upload_id", "period_date").distinct()

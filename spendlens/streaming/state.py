@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,24 +12,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KEYS = ["client_id", "platform", "campaign_name"]
 OUTPUT = ("client_id long, platform string, campaign_name string, upload_id long, roas double, prior_roas double, "
           "spend double, prior_spend double")
-STATE = "period_date date, roas double, spend double"
+STATE = "period_date array<date>, roas array<double>, spend array<double>"
 
 
 def _compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit each arriving period next to the one before it; only the latest period is remembered."""
-    last = state.get if state.exists else (None, None, None)
-    rows = []
-    # a campaign has one row per upload, so a micro-batch brings few rows per key
-    arrived = pd.concat(list(frames)).sort_values(["period_date", "upload_id"])
-    for row in arrived.itertuples(index=False):
-        rows.append((*key, row.upload_id, row.roas, last[1], row.spend, last[2]))
-        if last[0] is None or row.period_date >= last[0]:
-            last = (row.period_date, row.roas, row.spend)
-    state.update(last)
-    columns = ["client_id", "platform", "campaign_name", "upload_id", "roas", "prior_roas", "spend", "prior_spend"]
-    yield pd.DataFrame(rows, columns=columns)
+    """Emit each arriving period next to the latest one strictly before it.
+
+    The state holds one entry per period of the campaign, so a late period finds its own
+    predecessor instead of whatever arrived last.
+    """
+    dates, roas, spend = (list(x or []) for x in state.get) if state.exists else ([], [], [])
+    known = pd.DataFrame({"period_date": dates, "roas": roas, "spend": spend})
+    for frame in frames:
+        known = pd.concat([known, frame[["period_date", "roas", "spend"]]], ignore_index=True) if len(known) else frame[["period_date", "roas", "spend"]]
+        known = known.drop_duplicates("period_date", keep="last").sort_values("period_date", ignore_index=True)
+        at = np.searchsorted(pd.to_datetime(known["period_date"]).to_numpy(), pd.to_datetime(frame["period_date"]).to_numpy(), side="left") - 1
+        found = at >= 0
+        prior = {c: np.where(found, known[c].to_numpy(dtype=float)[np.maximum(at, 0)], np.nan) for c in ("roas", "spend")}
+        yield pd.DataFrame({
+            **dict(zip(KEYS, key, strict=True)), "upload_id": frame["upload_id"].to_numpy(), "roas": frame["roas"].to_numpy(),
+            "prior_roas": pd.array(prior["roas"], dtype="Float64"), "spend": frame["spend"].to_numpy(),
+            "prior_spend": pd.array(prior["spend"], dtype="Float64"),
+        })
+    state.update((list(known["period_date"]), [float(x) for x in known["roas"]], [float(x) for x in known["spend"]]))
 
 
 def compare_with_previous(stream: DataFrame) -> DataFrame:
-    """Stream of campaign facts joined with the campaign's previous period held in state."""
-    return stream.groupBy(*KEYS).applyInPandasWithState(_compare, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """Stream of campaign facts joined with the campaign's previous period held in state; rows without a period are left out."""
+    dated = stream.where("period_date is not null")
+    return dated.groupBy(*KEYS).applyInPandasWithState(_compare, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

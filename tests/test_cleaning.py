@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from spendlens import fixed_values as fx
 from spendlens.functions import dates, formatting, numbers
+from spendlens.functions.guards import total
 from spendlens.operators import cleaning, columns, granular, metrics
-from spendlens.sources import exports
+from spendlens.sources import detect, exports
 
 NUMBERS = [("₹1,200", 1200.0), ("1.2K", 1200.0), ("2.5L", 250000.0), ("1Cr", 1e7), ("3 m", 3e6), ("1b", 1e9), ("3.5%", 3.5), ("--", 0.0),
            ("n/a", 0.0), ("", 0.0), (None, 0.0), ("abc", 0.0), ("5c", 5.0), ("(100)", 0.0), ("1,5", 15.0), ("0,00", 0.0), ("-7.5", -7.5),
@@ -53,12 +54,17 @@ def test_day_order_is_decided_per_file(spark):
     assert got == {("us", 1): "2026-03-04", ("us", 2): "2026-04-25", ("us", 3): "2026-04-25", ("eu", 1): "2026-04-03", ("eu", 2): "n/a"}
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_dictionary_join_gives_same_dates(spark, monkeypatch, limit):
-    monkeypatch.setattr(cleaning, "BROADCAST_CELLS", limit)
-    df = spark.createDataFrame([("a", 1, "15/01/2026", "Q1 2026"), ("a", 2, None, "x")], "file string, at int, day string, week string")
+def test_cells_that_are_no_dates_stay(spark):
+    df = spark.createDataFrame([("a", 1, "15/01/2026", "Q1 2026"), ("a", 2, None, "x"), (None, 3, "16/01/2026", None)], "file string, at int, day string, week string")
     got = sorted(cleaning.normalize_dates(df, "file", "at").collect(), key=lambda r: r["at"])
-    assert [(r["day"], r["week"], r["changed day"]) for r in got] == [("2026-01-15", "2026-01-01", True), (None, "x", False)]
+    assert [(r["day"], r["week"], r["changed day"]) for r in got] == [
+        ("2026-01-15", "2026-01-01", True), (None, "x", False), ("2026-01-16", None, True)]
+
+
+def test_exact_sums_keep_small_and_large_values(spark):
+    df = spark.createDataFrame([(0.00004,)] * 5 + [(1.5e16,)], "x double")
+    assert df.where("x < 1").agg(total("x")).first()[0] == 0.0002
+    assert df.agg(total("x")).first()[0] == 1.5e16
 
 
 def test_google_pipeline_and_report(spark):
@@ -115,13 +121,14 @@ def test_reading_files(spark, tmp_path):
 
 
 def test_detect_files(spark, tmp_path):
-    from spendlens.sources import detect
-
-    (tmp_path / "g.csv").write_text("Campaign,Cost,Conversions,Conversion value,Quality score\n" + "x" * 5000 + "mqls sqls")
+    (tmp_path / "g.csv").write_text("Campaign,Cost,Conversions,Conversion value,Quality score\n" + "x" * 5000)
+    (tmp_path / "f.csv").write_text("Campaign,Cost\n" + "x" * 5000 + "mqls sqls")
     (tmp_path / "m.csv").write_text("Campaign name,Amount spent,Purchase ROAS,Results\n")
     (tmp_path / "u.csv").write_text("a,b\n")
     got = {r["path"].split("/")[-1]: r["platform"] for r in detect.detect_files(spark, str(tmp_path)).collect()}
-    assert got == {"g.csv": "google", "m.csv": "meta", "u.csv": "unknown"}
+    assert got == {"g.csv": "google", "m.csv": "meta", "u.csv": "unknown", "f.csv": "funnel"}
+    texts = spark.createDataFrame([(p.name, p.read_text()) for p in tmp_path.iterdir()], "name string, text string")
+    assert got == {r["name"]: r["platform"] for r in detect.detect(texts, "text").collect()}
 
 
 def test_metrics_and_severity(spark):
@@ -167,3 +174,18 @@ def test_rupees(spark):
 def test_mojibake(spark):
     got = spark.range(1).select(formatting.repair_mojibake(F.lit("â‚¹5 â€“ itâ€™s cafÃ© â€¦"))).first()[0]
     assert got == "₹5 - it's café ..."
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("campaign,cost,clicks\nA,1,2\n#summer,3,4\n\n\"x, y\",5,\n")
+    (tmp_path / "b.csv").write_text("# note\ncampaign,clicks,cost\nB,2,1\n#late,7,8\nTotal,9,9\n")
+    got = exports.read_web_csv(spark, str(tmp_path)).select("campaign", "cost", "clicks").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("A", "1", "2"), ("#summer", "3", "4"), ("x, y", "5", None), ("B", "1", "2"), ("#late", "8", "7")], key=str)
+
+
+def test_whole_files_are_judged(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("x\n" * 3000 + "Session campaign,Engaged sessions\n")
+    (tmp_path / "none.csv").write_text("nothing\n")
+    got = {r["path"].rsplit("/", 1)[1]: r["platform"] for r in detect.detect_files(spark, str(tmp_path)).collect()}
+    assert got == {"late.csv": "ga4", "none.csv": "unknown"}

@@ -89,3 +89,10 @@ def test_sink_round_trip(spark, tmp_path):
     assert one.count() == 5 and "PartitionFilters: [isnotnull(client_id" in one._jdf.queryExecution().toString()
     sinks.write_export(rows.select("campaign_name", "roas"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
+
+
+def test_uploads_without_a_day_keep_a_rank(spark):
+    rows = [(1, 5, None), (1, 6, "2026-01-01"), (1, 7, None), (2, 8, None)]
+    df = spark.createDataFrame(rows, "client_id int, upload_id int, day string").withColumn("period_date", F.col("day").cast("date"))
+    got = {r["upload_id"]: (r["upload_rank"], r["upload_count"]) for r in history.rank_uploads(df).collect()}
+    assert got == {5: (1, 3), 7: (2, 3), 6: (3, 3), 8: (1, 1)}

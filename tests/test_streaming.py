@@ -80,6 +80,30 @@ def test_stateful_comparison_matches_batch(spark, tmp_path):
 
 def test_streamed_windows_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(model.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(SF)
-    rolling.write_rolling(rolling.rolling_kpis(stream, 30), str(tmp_path / "k"), str(tmp_path / "c"))
+    rolling.write_daily(stream, str(tmp_path / "k"), str(tmp_path / "c"))
     want = sorted(map(tuple, rolling.rolling_kpis(model.table(spark, SF, "events"), 30).collect()))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "k")).collect())) == want
+    assert sorted(map(tuple, rolling.roll(rolling.read_daily(spark, str(tmp_path / "k")), 30).collect())) == want
+
+
+def test_late_period_finds_its_own_predecessor(spark, tmp_path):
+    schema = "client_id long, platform string, campaign_name string, upload_id long, period_date date, roas double, spend double"
+    for upload, month in ((1, 1), (5, 5), (3, 3), (9, 5)):  # March after May, then May once more
+        rows = [(1, "google", "a", upload, date(2026, month, 1), float(month), 1.0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.compare_with_previous(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {r["upload_id"]: r["prior_roas"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: None, 5: 1.0, 3: 1.0, 9: 3.0}
+
+
+def test_arrivals_keep_rejects_and_fall_back_to_the_day(spark, tmp_path):
+    inbox, tables = tmp_path / "inbox", str(tmp_path / "tables")
+    inbox.mkdir()
+    head = "client_id,upload_id,period_start,Campaign,Impr.,Clicks,Cost (INR),Conv.,Conv. value\n"
+    (inbox / "a.csv").write_text(head + "1,7,,Alpha,10,1,5,1,1\n,8,2026-01-01,Beta,10,1,5,1,1\n2,x,2026-01-01,Gamma,10,1,5,1,1\n")
+    arrivals.run_available(arrivals.export_stream(spark, str(inbox)), arrivals.arrival_pipeline(tables), str(tmp_path / "c"))
+    facts = arrivals.current_facts(spark, tables).collect()
+    assert [(r["campaign_name"], r["period_date"] is not None) for r in facts] == [("Alpha", True)]
+    assert {r["reason"] for r in arrivals.stored_table(spark, tables, "rejects").collect()} == {"no client", "no upload"}
+    assert arrivals.stored_table(spark, tables, "benchmarks").count() == 1

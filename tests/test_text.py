@@ -47,3 +47,11 @@ def test_context_fixture(spark):
     texts = {r["client_id"]: r["briefing"] for r in context.briefings(df).collect()}
     assert "Monthly budget: 9 L (Google 5 L)" in texts[1] and "target ROAS 3.0x target CPA 500" in texts[1]
     assert texts[2].splitlines()[2] == "Additional context: old notes" and texts[3] == ""
+
+
+def test_no_item_is_left_out(spark):
+    html = "<ul>" + "".join(f"<li>item number {i} with enough text</li>" for i in range(40)) + "</ul>"
+    raw = "\n".join(f"{i}. Title {i}" for i in range(1, 13))
+    df = spark.createDataFrame([(1, html, raw)], "k int, html string, raw string")
+    assert text.report_actions(df, ["k"], "html").count() == 40 == text.recommendation_bullets(df, ["k"], "html").count()
+    assert text.recommendations(df, ["k"], "raw").count() == 12
