@@ -15,13 +15,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int],
-                    id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id",
+                    text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """Labelled documents to learn from, at most ``most[label]`` of each label, spread by hash of the id.
 
     Held-out ids, null ids and null labels never take part. An id labelled twice counts once, with
-    its smallest label. Adds ``label`` and ``turn`` (0, 1, ... per label); the broadcast side has at
-    most ``sum(most.values())`` rows.
+    its smallest label. Columns are ``doc_id``, ``text``, ``others``, ``label`` and ``turn`` (a hash
+    from 0 to 999); the broadcast side has at most ``sum(most.values())`` rows.
     """
     known = labels.select(F.col(id_col).cast("long").alias("known"), F.col(label_col).cast("int").alias("label")).where(
         F.col("known").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("known")))
@@ -31,7 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: di
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("known"), "known").limit(n).withColumn(
             "turn", F.pmod(F.xxhash64("known", F.lit(3)), F.lit(1000)).cast("int"))
         chosen = part if chosen is None else chosen.union(part)
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("known")).drop("known")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("known")).drop("known")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -23,9 +23,9 @@ from spendlens.llm.shared import named, table
 from spendlens.llm.tokenizing import spaced_chunks, text_slices
 
 #: Characters whose words are merged together: a step costs the same however many words it meets.
-SLICE = 10_000_000
+SLICE = 8_000_000
 #: Chunks and words that a worker remembers between slices.
-CHUNK_LIMIT = 350_000
+CHUNK_LIMIT = 300_000
 NO_PAIR = np.int32(2**31 - 1)
 
 

@@ -145,7 +145,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
     return QualityModel(weights[0], weights[1], scales, logistic(both, scale[2], ridge=1e-3))
 
 
-def featured(docs: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
+def featured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """Columns ``keep`` and both views' features as doubles."""
     schema = docs.select(*keep).schema.add("content", ArrayType(DoubleType())).add("metadata", ArrayType(DoubleType()))
 
@@ -169,14 +169,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Without labels of both kinds (after some were set apart for the scales), every score is the
     share of good labels, one without any.
     """
-    sample = labelled_sample(docs, labels, "quality", {1: good_docs, 0: poor_docs}, id_col)
-    got = featured(sample, ["label", "turn"], id_col, text_col).toPandas().sort_values(["turn", "label"], kind="stable")
-    content, metadata = (np.array(got[c].tolist()).reshape(len(got), -1) for c in ("content", "metadata"))
+    sample = labelled_sample(docs, labels, "quality", {1: good_docs, 0: poor_docs}, id_col, text_col, ("lang", "source", "n_chars"))
+    got = featured(sample, ["label", "turn"], "text").toPandas().sort_values(["turn", "label"], kind="stable")
+    content, metadata = (np.array(got[c].tolist()).reshape(len(got), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
     label, learn = got["label"].to_numpy(), (got["turn"] >= CALIBRATION).to_numpy()
     if len(set(label[learn])) < 2 or len(set(label[~learn])) < 2:
         return QualityModel(np.zeros(0), np.zeros(0), (np.zeros(0), np.zeros(0)), np.zeros(0), fixed=float(label.mean()) if len(label) else 1.0)
     share = min(1.0, pool_docs / max(1, docs.count()))
-    pool = featured(docs.sample(share, seed=9), [], id_col, text_col).toPandas()
+    pool = featured(docs.sample(share, seed=9), [], text_col).toPandas()
     views = tuple(np.array(pool[c].tolist()).reshape(len(pool), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
     return co_train((content[learn], metadata[learn], label[learn]), views, (content[~learn], metadata[~learn], label[~learn]))
 

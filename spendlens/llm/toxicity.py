@@ -9,6 +9,7 @@ dilute an insult; which windows of a toxic document carry it is worked out while
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,7 +29,7 @@ WINDOW, STRIDE = 32, 16
 #: Scales the mean of a window, so that one word in ``WINDOW`` can decide.
 SCALE = 8.0
 #: Labelled documents that are learnt from at most, toxic and clean, and windows taken of each per round.
-TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS = 2500, 4000, 8, 4
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS = 2000, 3000, 8, 4
 #: Of every thousand sampled documents, so many set the final cut instead of the embeddings.
 CALIBRATION = 200
 #: An n-gram is learnt if the words that have it occur in so many sampled documents in all.
@@ -113,7 +114,9 @@ class Scorer:
             if not n:
                 out.append((self.model.constant, 0))
                 continue
-            sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(get, words), np.float64, n))])
+            values = np.fromiter(map(get, words), np.float64, n)
+            values[1:][values[1:] == values[:-1]] = 0.0  # a word said over and over counts once in a row
+            sums = np.concatenate([[0.0], np.cumsum(values)])
             starts = window_starts(n)
             stops = np.minimum(starts + WINDOW, n)
             means = (sums[stops] - sums[starts]) / (stops - starts)
@@ -127,7 +130,10 @@ class Bags:
 
     def __init__(self, texts: list[str]) -> None:
         vocabulary: dict[str, int] = {}
+        blank = vocabulary.setdefault("", 0)
         docs = [np.array([vocabulary.setdefault(core(w), len(vocabulary)) for w in t.split()], dtype=np.int32) for t in texts]
+        for words in docs:
+            words[1:][words[1:] == words[:-1]] = blank  # a word said over and over counts once in a row
         sizes = np.array([len(d) for d in docs])
         self.words = np.concatenate(docs)
         begins = np.cumsum(sizes) - sizes
@@ -135,11 +141,14 @@ class Bags:
         self.doc = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
         self.start = np.concatenate(starts) + begins[self.doc]
         self.stop = np.minimum(self.start + WINDOW, (begins + sizes)[self.doc])
-        found = [grams(w) for w in vocabulary]
-        self.gram_sizes = np.array([len(g) for g in found])
-        flat = np.array([g for gs in found for g in gs], dtype=np.int64)
-        of_word = np.repeat(np.arange(len(found)), self.gram_sizes)
-        seen_in = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(found))
+        flat_grams, gram_sizes = array("i"), array("i")
+        for word in vocabulary:
+            found = grams(word)
+            flat_grams.extend(found)
+            gram_sizes.append(len(found))
+        self.gram_sizes, flat = np.array(gram_sizes), np.array(flat_grams)
+        of_word = np.repeat(np.arange(len(gram_sizes), dtype=np.int32), self.gram_sizes)
+        seen_in = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(gram_sizes))
         common = np.bincount(flat, weights=seen_in[of_word], minlength=BUCKETS) >= COMMON
         keep = common[flat]  # what few documents have would only be learnt by heart
         self.flat, self.of_word = flat[keep], of_word[keep]
@@ -240,8 +249,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     The driver gets the texts of at most ``toxic_docs + clean_docs`` documents. Without labels of
     both kinds every score is the share of toxic labels (zero without any).
     """
-    sample = labelled_sample(docs, labels, "toxic", {1: toxic_docs, 0: clean_docs}, id_col).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "label", "turn")
+    sample = labelled_sample(docs, labels, "toxic", {1: toxic_docs, 0: clean_docs}, id_col, text_col)
     learnt = sample.where(F.col("turn") >= CALIBRATION).orderBy("doc_id", "text").toPandas()
     worded = learnt[learnt["text"].fillna("").str.strip() != ""]
     if worded["label"].nunique() < 2:
