@@ -153,8 +153,9 @@ s AS (SELECT client_id, upload_id, coalesce(period_label, CAST(period_date AS VA
 n AS (SELECT client_id, count(*) AS open_anomalies FROM anomalies GROUP BY client_id),
 f AS (SELECT client_id, least(google_min_roas, meta_min_roas) AS floor FROM rules)
 SELECT s.client_id, client_name, currency, upload_id, period, round(spend, 2) AS total_spend, round(revenue, 2) AS total_revenue,
-  round(revenue / spend, 2) AS blended_roas, campaign_count, coalesce(open_anomalies, 0) AS open_anomalies,
-  CASE WHEN revenue / spend >= floor * 1.2::DOUBLE THEN 'Good' WHEN revenue / spend >= floor * 0.8::DOUBLE THEN 'Warning'
+  round(CASE WHEN spend <> 0 THEN revenue / spend ELSE 0 END, 2) AS blended_roas, campaign_count, coalesce(open_anomalies, 0) AS open_anomalies,
+  CASE WHEN CASE WHEN spend <> 0 THEN revenue / spend ELSE 0 END >= floor * 1.2::DOUBLE THEN 'Good'
+       WHEN CASE WHEN spend <> 0 THEN revenue / spend ELSE 0 END >= floor * 0.8::DOUBLE THEN 'Warning'
        ELSE 'Critical' END AS budget_health
 FROM s JOIN clients USING (client_id) LEFT JOIN n USING (client_id) LEFT JOIN f USING (client_id)""")
 def bulk_report(spark: SparkSession, sf: str) -> DataFrame:
