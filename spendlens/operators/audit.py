@@ -102,7 +102,8 @@ def _named_examples(rows: DataFrame) -> DataFrame:
         wanted = F.when((F.col("flag") == flag) & (F.col("place") <= limit), F.struct("place", "campaign_name"))
         return F.array_join(F.transform(F.array_sort(F.collect_list(wanted)), lambda e: e["campaign_name"]), ", ")
 
-    return first.groupBy(*KEYS).agg(*[names(f, n).alias(f"{f}_names") for f, n in NAMED.items()])
+    leading = F.max(F.when((F.col("flag") == "roas_far") & (F.col("place") == 1), F.col("campaign_name")))
+    return first.groupBy(*KEYS).agg(*[names(f, n).alias(f"{f}_names") for f, n in NAMED.items()], leading.alias("roas_far_first"))
 
 
 def _measures(rows: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def _checks() -> list[Column]:
         .when(c("judged_n") == 0, "warning", "Insufficient spend to evaluate ROAS.")
         .when(c("roas_far_n") > 0, "fail",
               _text(n("roas_far"), " campaigns >30% below ROAS target (", floor_text, "x): ", c("roas_far_names")),
-              _text("Review and optimize or pause: ", c("roas_far_names")), F.split("roas_far_names", ", ").getItem(0), "high")
+              _text("Review and optimize or pause: ", c("roas_far_names")), c("roas_far_first"), "high")
         .when(c("roas_under_n") > 0, "warning", _text(n("roas_under"), " campaigns below ROAS target (", floor_text, "x)."))
         .otherwise("pass", _text("All campaigns meeting ROAS target (", floor_text, "x).")),
         _Check("CPC Outliers", cost)
