@@ -17,20 +17,40 @@ RATES = {"mql_rate": ("mqls", "leads"), "sql_rate": ("sqls", "mqls"), "close_rat
 
 def load_funnel(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Canonical funnel rows per campaign name: stages found by header, last row of a name wins,
-    first appearance gives the order. Missing stages stay null."""
+    first appearance gives the order. Missing stages stay null. Exports without a campaign column
+    are read by ``load_funnel_totals``."""
     name = headers.first_header(df.columns, fx.FUNNEL_CAMPAIGN_HEADERS)
-    found = headers.funnel_stages(df.columns)
-    stages = [
-        (F.regexp_replace(F.col(f"`{c}`").cast("string"), ",", "").try_cast("double") if c else F.lit(None).cast("double")).alias(s)
-        for s, c in found.items()
-    ]
-    rows = df.select(*keys, F.trim(F.col(f"`{name}`")).alias("funnel_name"), F.col(ordinal).alias("place"), *stages)
+    if name is None:
+        raise ValueError("funnel export has no campaign column")
+    rows = df.select(*keys, F.trim(F.col(f"`{name}`")).alias("funnel_name"), F.col(ordinal).alias("place"), *_stages(df))
     named = rows.where(F.col("funnel_name").isNotNull() & ~F.lower("funnel_name").isin("", "nan", "total", "grand total"))
     return named.groupBy(*keys, "funnel_name").agg(
         F.min("place").alias("place"), F.max_by(F.struct(*STAGES), "place").alias("last")
     ).select(*keys, "funnel_name", "place", "last.*")
 
 
+def _stages(df: DataFrame) -> list[Column]:
+    """Stage columns of an export as numbers, null where it has no such column."""
+    return [
+        (F.regexp_replace(F.col(f"`{c}`").cast("string"), ",", "").try_cast("double") if c else F.lit(None).cast("double")).alias(s)
+        for s, c in headers.funnel_stages(df.columns).items()
+    ]
+
+
+def load_funnel_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Account totals per key of an export without campaigns: one row per date, or one row in all.
+
+    With a date column, closing totals and rows without a date do not count twice: only dated rows
+    are summed.
+    """
+    day = headers.first_header(df.columns, fx.FUNNEL_DATE_HEADERS)
+    rows = df
+    if day is not None:
+        label = F.lower(F.trim(F.col(f"`{day}`").cast("string")))
+        rows = df.where(label.isNotNull() & ~label.isin("", "nan", "total", "grand total"))
+    return funnel_totals(rows.select(*keys, *_stages(df)), keys)
+
+
 def funnel_totals(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[total(s).alias(s) for s in STAGES])
 

@@ -133,12 +133,12 @@ def _section(text: Column, heading: str) -> Column:
     return strip(F.regexp_extract(text, rf"(?sm)## {heading}(.*?)(?=^## |\z)", 1))
 
 
-def style_scores(texts: DataFrame, text: str) -> DataFrame:
-    """Five yes/no checks of a written report: entities, concrete actions, confidence, filler, numbers."""
+def style_scores(texts: DataFrame, text: str, names: list[str] = fx.KNOWN_CAMPAIGNS) -> DataFrame:
+    """Five yes/no checks of a written report: entities among ``names``, concrete actions, confidence, filler, numbers."""
     body = F.col(text)
     plan, budget = _section(body, "Recommendations"), _section(body, "Budget Reallocation")
     low_plan = F.lower(F.col("plan"))
-    hits = reduce(lambda a, b: a + b, [F.when(low_plan.contains(n), 1).otherwise(0) for n in fx.KNOWN_CAMPAIGNS])
+    hits = reduce(lambda a, b: a + b, [F.when(low_plan.contains(n), 1).otherwise(0) for n in names])
     vague = any_of([low_plan.rlike(p) for p in fx.VAGUE_PATTERNS])
     hedged = any_of([low_plan.rlike(p) for p in fx.HEDGE_PATTERNS])
     lines = F.filter(F.transform(F.split("plan", "\n"), strip), lambda t: t.rlike(r"^[-*1-9]"))

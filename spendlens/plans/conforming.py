@@ -201,6 +201,36 @@ def clean_funnel_export(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select("client_id", F.lower("funnel_name").alias("funnel_key"), "leads", "mqls", "sqls", "customers")
 
 
+FUNNEL_SUMS = """
+SELECT client_id, sum(round(leads)) AS leads, sum(round(mqls)) AS mqls, NULL::DOUBLE AS sqls, sum(round(customers)) AS customers
+FROM crm_funnel GROUP BY client_id"""
+
+
+def _shown_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """Funnel rows without names, as the text of an export."""
+    return model.crm_funnel(spark, sf).select(
+        "client_id", F.format_number("leads", 0).alias("Form Fills"), F.format_number("mqls", 0).alias("MQL"),
+        F.format_number("customers", 0).alias("Closed Won"), F.col("funnel_name"))
+
+
+@query("funnel_date_export", FUNNEL_SUMS)
+def funnel_date_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Funnel exports with a date column instead of campaigns, closed by a total, as account totals."""
+    shown = _shown_funnel(spark, sf)
+    dated = shown.withColumn("Date", F.lit("15/01/2026")).drop("funnel_name")
+    closing = shown.withColumn("Date", F.lit("Grand Total")).drop("funnel_name")
+    return funnel.load_funnel_totals(dated.unionByName(closing), ["client_id"])
+
+
+@query("funnel_totals_export", FUNNEL_SUMS)
+def funnel_totals_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Funnel exports of one totals row each, with neither campaign nor date column."""
+    rows = model.crm_funnel(spark, sf).groupBy("client_id").agg(*[F.sum(F.round(s)).alias(s) for s in ("leads", "mqls", "customers")])
+    shown = rows.select("client_id", F.format_number("leads", 0).alias("Form Fills"), F.format_number("mqls", 0).alias("MQL"),
+                        F.format_number("customers", 0).alias("Closed Won"))
+    return funnel.load_funnel_totals(shown, ["client_id"])
+
+
 @query("clean_web_export", """
 SELECT client_id, traffic_name AS join_key, sessions::DOUBLE AS sessions, users::DOUBLE AS users, bounce_rate, ga_conversions::DOUBLE AS conversions,
   ga_revenue AS revenue FROM web_traffic""")
