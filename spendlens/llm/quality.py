@@ -31,7 +31,7 @@ METADATA = 2 * CATEGORIES + 9
 GOOD_DOCS, POOR_DOCS, POOL_DOCS, GIVEN, ROUNDS = 3000, 3000, 6000, 150, 4
 #: Of every thousand sampled documents, so many set the scales instead.
 CALIBRATION = 250
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 350_000
 SCORED = "doc_id long, score double, predicted int, content_score double, metadata_score double"
 
 

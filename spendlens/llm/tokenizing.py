@@ -20,7 +20,7 @@ _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _TWO_WHITE = re.compile(r"\s\s")
 #: ASCII signs that form one piece when they follow letters; the apostrophe starts contractions.
 _SIGNS = '.,!?;:%&*$#()[]{}"/\\|+-=@<>~^_`'
-CHUNK_LIMIT = 700_000
+CHUNK_LIMIT = 600_000
 
 
 def spaced_chunks(text: str) -> list[str]:

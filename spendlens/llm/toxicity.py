@@ -34,7 +34,7 @@ TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS = 2000, 3000, 8, 4
 CALIBRATION = 200
 #: An n-gram is learnt if the words that have it occur in so many sampled documents in all.
 COMMON = 6
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 350_000
 SCORED = "doc_id long, score double, predicted int, worst_word int"
 
 
