@@ -20,16 +20,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: di
     """Labelled documents to learn from, at most ``most[label]`` of each label, spread by hash of the id.
 
     Held-out ids, null ids and null labels never take part. An id labelled twice counts once, with
-    its smallest label. Columns are ``doc_id``, ``text``, ``others``, ``label`` and ``turn`` (a hash
-    from 0 to 999); the broadcast side has at most ``sum(most.values())`` rows.
+    its smallest label. Columns are ``doc_id``, ``text``, ``others``, ``label``, ``turn`` (a hash
+    from 0 to 999) and ``weight``, the labels of its class that a sampled one stands for, so weighted
+    classes are mixed as they are among all labels to learn from; the broadcast side has at most
+    ``sum(most.values())`` rows.
     """
     known = labels.select(F.col(id_col).cast("long").alias("known"), F.col(label_col).cast("int").alias("label")).where(
         F.col("known").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("known")))
     known = known.groupBy("known").agg(F.min("label").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for label, n in most.items():
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("known"), "known").limit(n).withColumn(
-            "turn", F.pmod(F.xxhash64("known", F.lit(3)), F.lit(1000)).cast("int"))
+            "turn", F.pmod(F.xxhash64("known", F.lit(3)), F.lit(1000)).cast("int")).withColumn("weight", F.lit(max(1.0, counts.get(label, 0) / max(1, n))))
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("known")).drop("known")

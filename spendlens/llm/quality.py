@@ -117,13 +117,18 @@ def with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray],
-             scale: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = ROUNDS, given: int = GIVEN) -> QualityModel:
-    """Train both views on ``labelled`` and each other's surest pseudo-labels from ``pool``; fit scales on ``scale``."""
+def co_train(labelled: tuple[np.ndarray, ...], pool: tuple[np.ndarray, np.ndarray],
+             scale: tuple[np.ndarray, ...], rounds: int = ROUNDS, given: int = GIVEN) -> QualityModel:
+    """Train both views on ``labelled`` and each other's surest pseudo-labels from ``pool``; fit scales on ``scale``.
+
+    ``labelled`` and ``scale`` are both views, labels and, where classes were sampled unevenly, how
+    much each row counts (one on average); a pseudo-label counts one.
+    """
     views = [[labelled[v]] for v in (0, 1)]
     targets = [[labelled[2]] for _ in (0, 1)]
+    counts, scale_counts = (rows[3] if len(rows) > 3 else np.ones(len(rows[2])) for rows in (labelled, scale))
     free = np.ones(len(pool[0]), dtype=bool)
-    weights = [logistic(labelled[v], labelled[2], ridge=0.05) for v in (0, 1)]
+    weights = [logistic(labelled[v], labelled[2], ridge=0.05, weight=counts) for v in (0, 1)]
     for _ in range(rounds):
         gifts = []
         for v in (0, 1):
@@ -138,11 +143,12 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
             poor, good = gifts[1 - v]
             views[v].append(pool[v][poor + good])
             targets[v].append(np.array([0] * len(poor) + [1] * len(good)))
-        weights = [logistic(np.concatenate(views[v]), np.concatenate(targets[v]), ridge=0.05) for v in (0, 1)]
+        weights = [logistic(np.concatenate(views[v]), y := np.concatenate(targets[v]), ridge=0.05,
+                            weight=np.append(counts, np.ones(len(y) - len(counts)))) for v in (0, 1)]
     margins = [with_one(scale[v]) @ weights[v] for v in (0, 1)]
-    scales = tuple(logistic(m[:, None], scale[2], ridge=1e-3) for m in margins)
+    scales = tuple(logistic(m[:, None], scale[2], ridge=1e-3, weight=scale_counts) for m in margins)
     both = np.clip(np.stack([with_one(m[:, None]) @ s for m, s in zip(margins, scales, strict=True)], axis=1), -20, 20)
-    return QualityModel(weights[0], weights[1], scales, logistic(both, scale[2], ridge=1e-3))
+    return QualityModel(weights[0], weights[1], scales, logistic(both, scale[2], ridge=1e-3, weight=scale_counts))
 
 
 def featured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
@@ -166,19 +172,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 good_docs: int = GOOD_DOCS, poor_docs: int = POOR_DOCS, pool_docs: int = POOL_DOCS) -> QualityModel:
     """Co-train on bounded samples: labelled documents that are not held out, and an unlabelled pool.
 
-    Without labels of both kinds (after some were set apart for the scales), every score is the
-    share of good labels, one without any.
+    Sampled labels count for all of their class, so a score means the same however many labels
+    there are. Without labels of both kinds (after some were set apart for the scales), every score
+    is the share of good labels, one without any.
     """
     sample = labelled_sample(docs, labels, "quality", {1: good_docs, 0: poor_docs}, id_col, text_col, ("lang", "source", "n_chars"))
-    got = featured(sample, ["label", "turn"], "text").toPandas().sort_values(["turn", "label"], kind="stable")
+    got = featured(sample, ["label", "turn", "weight"], "text").toPandas().sort_values(["turn", "label"], kind="stable")
     content, metadata = (np.array(got[c].tolist()).reshape(len(got), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
-    label, learn = got["label"].to_numpy(), (got["turn"] >= CALIBRATION).to_numpy()
+    label, learn, weight = got["label"].to_numpy(), (got["turn"] >= CALIBRATION).to_numpy(), got["weight"].to_numpy()
     if len(set(label[learn])) < 2 or len(set(label[~learn])) < 2:
-        return QualityModel(np.zeros(0), np.zeros(0), (np.zeros(0), np.zeros(0)), np.zeros(0), fixed=float(label.mean()) if len(label) else 1.0)
+        return QualityModel(np.zeros(0), np.zeros(0), (np.zeros(0), np.zeros(0)), np.zeros(0), fixed=float(np.average(label, weights=weight)) if len(label) else 1.0)
     share = min(1.0, pool_docs / max(1, docs.count()))
     pool = featured(docs.sample(share, seed=9), [], text_col).toPandas()
     views = tuple(np.array(pool[c].tolist()).reshape(len(pool), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
-    return co_train((content[learn], metadata[learn], label[learn]), views, (content[~learn], metadata[~learn], label[~learn]))
+    labelled, scale = ((content[at], metadata[at], label[at], weight[at] / weight[at].mean()) for at in (learn, ~learn))
+    return co_train(labelled, views, scale)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,3 +153,14 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tables, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} - {None} == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
+
+
+def test_quality_means_the_same_however_many_labels_are_sampled(spark):
+    """Documents alike in both classes: their score is the share of good labels, capped samples or not."""
+    rng = random.Random(4)
+    rows = [("l", i, " ".join(rng.choice(["red", "green", "blue"]) for _ in range(40)), "en", "s", 200, "s") for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    for caps in ({}, {"good_docs": 80, "poor_docs": 80}):
+        score = np.mean([r["score"] for r in score_quality(docs, fit_quality(docs, labels, **caps)).collect()])
+        assert abs(score - 8 / 9) < 0.08
