@@ -17,18 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from spendlens.llm.learning import held_out, keep_rows, labelled_sample, logistic, sigmoid
-from spendlens.llm.shared import named, table
+from spendlens.llm.shared import named, stored, table
 
 SHAPES = 192
 CONTENT = SHAPES + 8
 CATEGORIES = 48
 METADATA = 2 * CATEGORIES + 9
-#: Labelled documents learnt from at most (good, poor), unlabelled ones in the pool (about), and
-#: how many pseudo-labels of each kind a view gives the other per round.
-GOOD_DOCS, POOR_DOCS, POOL_DOCS, GIVEN, ROUNDS = 3000, 3000, 6000, 150, 4
+#: Labelled documents learnt from at most (good, poor), and how many pseudo-labels of each kind a
+#: view gives the other per round.
+GOOD_DOCS, POOR_DOCS, GIVEN, ROUNDS = 3000, 3000, 150, 4
 #: Of every thousand sampled documents, so many set the scales instead.
 CALIBRATION = 250
 KNOWN_WORDS = 350_000
@@ -117,32 +117,133 @@ def with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def co_train(labelled: tuple[np.ndarray, ...], pool: tuple[np.ndarray, np.ndarray],
+def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Margins row by row, so that a row's margin does not depend on the rows beside it."""
+    return (x * w[:-1]).sum(axis=1) + w[-1]
+
+
+#: Kinds of pseudo-labels in the order they are taken: (view, label).
+KINDS = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def sure_enough(margins: np.ndarray, label: int) -> np.ndarray:
+    return sigmoid(margins) >= 0.95 if label else sigmoid(margins) <= 0.05
+
+
+def wanted(view: int, given: int) -> int:
+    """How many candidates of a kind are enough: the other view takes its own first, of the same rows perhaps."""
+    return given if view == 0 else 3 * given
+
+
+def surest_rows(sure: np.ndarray, at: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` surest distinct keys, equally sure ones by ``at``."""
+    first = np.unique(keys, return_index=True)[1]
+    return first[np.lexsort((keys[first], at[first], -sure[first]))[:most]]
+
+
+@dataclass
+class ArrayPool:
+    """Unlabelled rows as two arrays, one row per document."""
+
+    views: tuple[np.ndarray, np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.free = np.ones(len(self.views[0]), dtype=bool)
+
+    def surest(self, weights: list[np.ndarray], given: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both views' features of what each kind takes; those rows take no part in later rounds."""
+        taken = []
+        for view, label in KINDS:
+            margins = margin(self.views[view], weights[view])
+            at = np.flatnonzero(self.free & sure_enough(margins, label))
+            rows = at[np.argsort(-margins[at] if label else margins[at], kind="stable")][:given]
+            self.free[rows] = False
+            taken.append((self.views[0][rows], self.views[1][rows]))
+        return taken
+
+
+class StoredPool:
+    """All unlabelled documents, their features on shared storage; each round scores every one of them on Spark.
+
+    Equally sure documents are taken by id, so the choice does not depend on how the rows are split.
+    Only the rows taken go to the driver.
+    """
+
+    COLUMNS = ("at", "key", "content", "metadata")
+    SCHEMA = "view int, label int, sure double, at long, key long, content binary, metadata binary"
+
+    def __init__(self, docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> None:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "lang", "source", "n_chars")
+        free = texts.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_anti")
+        # rows without id come first; of rows alike in id and features one is taken for all
+        self.rows = stored(featured(free, ["doc_id"], "text", packed=True).select(
+            F.coalesce("doc_id", F.lit(-(2**63))).alias("at"), F.xxhash64("doc_id", "content", "metadata").alias("key"), "content", "metadata"))
+        self.used: list[int] = []
+
+    def surest(self, weights: list[np.ndarray], given: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        used = np.array(self.used, dtype=np.int64)
+        columns, schema = self.COLUMNS, self.SCHEMA
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], pa.Table] = {}
+            for batch in batches:
+                batch = batch.filter(pa.array(~np.isin(batch.column("key").to_numpy(), used)))
+                if not batch.num_rows:
+                    continue
+                margins = [margin(unpacked(batch.column(c), n), w) for c, n, w in zip(columns[2:], (CONTENT, METADATA), weights, strict=True)]
+                ids, keys = (batch.column(c).to_numpy() for c in columns[:2])
+                for view, label in KINDS:
+                    at = np.flatnonzero(sure_enough(margins[view], label))
+                    sure = margins[view][at] * (1 if label else -1)
+                    top = surest_rows(sure, ids[at], keys[at], wanted(view, given))
+                    rows = pa.table({"sure": sure[top], **{c: batch.column(c).take(pa.array(at[top])) for c in columns}})
+                    if (view, label) in best:
+                        rows = pa.concat_tables([best[view, label], rows])
+                        rows = rows.take(pa.array(surest_rows(*(rows[c].to_numpy() for c in ("sure", "at", "key")), wanted(view, given))))
+                    best[view, label] = rows.combine_chunks()
+            for (view, label), rows in best.items():
+                for part in rows.to_batches():
+                    same = [pa.array(np.full(part.num_rows, v, dtype=np.int32)) for v in (view, label)]
+                    yield pa.RecordBatch.from_arrays([*same, *part.columns], ["view", "label", *part.schema.names])
+
+        found = stored(self.rows.mapInArrow(run, schema))
+        taken = []
+        mine: set[int] = set()
+        for view, label in KINDS:
+            rows = found.where((F.col("view") == view) & (F.col("label") == label)).dropDuplicates(["key"]).orderBy(
+                F.desc("sure"), "at", "key").limit(wanted(view, given)).collect()
+            rows = [r for r in rows if r["key"] not in mine][:given]
+            mine.update(r["key"] for r in rows)
+            taken.append(tuple(np.frombuffer(b"".join(r[c] for r in rows), np.float32).reshape(len(rows), n).astype(float)
+                               for c, n in (("content", CONTENT), ("metadata", METADATA))))
+        self.used += sorted(mine)
+        return taken
+
+
+def unpacked(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of a column of packed features."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), n).astype(float)
+
+
+def co_train(labelled: tuple[np.ndarray, ...], pool: tuple[np.ndarray, np.ndarray] | ArrayPool | StoredPool,
              scale: tuple[np.ndarray, ...], rounds: int = ROUNDS, given: int = GIVEN) -> QualityModel:
     """Train both views on ``labelled`` and each other's surest pseudo-labels from ``pool``; fit scales on ``scale``.
 
     ``labelled`` and ``scale`` are both views, labels and, where classes were sampled unevenly, how
     much each row counts (one on average); a pseudo-label counts one.
     """
+    pool = ArrayPool(pool) if isinstance(pool, tuple) else pool
     views = [[labelled[v]] for v in (0, 1)]
     targets = [[labelled[2]] for _ in (0, 1)]
     counts, scale_counts = (rows[3] if len(rows) > 3 else np.ones(len(rows[2])) for rows in (labelled, scale))
-    free = np.ones(len(pool[0]), dtype=bool)
     weights = [logistic(labelled[v], labelled[2], ridge=0.05, weight=counts) for v in (0, 1)]
     for _ in range(rounds):
-        gifts = []
-        for v in (0, 1):
-            chance = sigmoid(with_one(pool[v]) @ weights[v])
-            at = np.flatnonzero(free)
-            order = at[np.argsort(chance[at], kind="stable")]
-            poor = [i for i in order[:given].tolist() if chance[i] <= 0.05]
-            good = [i for i in order[::-1][:given].tolist() if chance[i] >= 0.95]
-            free[poor + good] = False
-            gifts.append((poor, good))
-        for v in (0, 1):
-            poor, good = gifts[1 - v]
-            views[v].append(pool[v][poor + good])
-            targets[v].append(np.array([0] * len(poor) + [1] * len(good)))
+        taken = pool.surest(weights, given)
+        if not any(len(rows[0]) for rows in taken):
+            break
+        for (giver, label), rows in zip(KINDS, taken, strict=True):
+            views[1 - giver].append(rows[1 - giver])
+            targets[1 - giver].append(np.full(len(rows[0]), label))
         weights = [logistic(np.concatenate(views[v]), y := np.concatenate(targets[v]), ridge=0.05,
                             weight=np.append(counts, np.ones(len(y) - len(counts)))) for v in (0, 1)]
     margins = [with_one(scale[v]) @ weights[v] for v in (0, 1)]
@@ -151,9 +252,13 @@ def co_train(labelled: tuple[np.ndarray, ...], pool: tuple[np.ndarray, np.ndarra
     return QualityModel(weights[0], weights[1], scales, logistic(both, scale[2], ridge=1e-3, weight=scale_counts))
 
 
-def featured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """Columns ``keep`` and both views' features as doubles."""
-    schema = docs.select(*keep).schema.add("content", ArrayType(DoubleType())).add("metadata", ArrayType(DoubleType()))
+def featured(docs: DataFrame, keep: list[str], text_col: str, packed: bool = False) -> DataFrame:
+    """Columns ``keep`` and both views' features as doubles, or ``packed`` as the bytes of floats."""
+    kind = BinaryType() if packed else ArrayType(DoubleType())
+    schema = docs.select(*keep).schema.add("content", kind).add("metadata", kind)
+
+    def cells(rows: list[np.ndarray]) -> pa.Array:
+        return pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary()) if packed else pa.array(rows, pa.list_(pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = Views()
@@ -161,32 +266,30 @@ def featured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
             content = [views.content(t) for t in columns[0]]
             metadata = [views.metadata(*row) for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"_{c}") for c in keep), pa.array(content, pa.list_(pa.float64())),
-                                              pa.array(metadata, pa.list_(pa.float64()))], [*keep, "content", "metadata"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"_{c}") for c in keep), cells(content), cells(metadata)], [*keep, "content", "metadata"])
 
     return docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col(text_col).alias("text"), "lang", "source",
                        F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                good_docs: int = GOOD_DOCS, poor_docs: int = POOR_DOCS, pool_docs: int = POOL_DOCS) -> QualityModel:
-    """Co-train on bounded samples: labelled documents that are not held out, and an unlabelled pool.
+                good_docs: int = GOOD_DOCS, poor_docs: int = POOR_DOCS) -> QualityModel:
+    """Co-train on a bounded sample of labelled documents that are not held out, and on all other documents without their labels.
 
     Sampled labels count for all of their class, so a score means the same however many labels
     there are. Without labels of both kinds (after some were set apart for the scales), every score
     is the share of good labels, one without any.
     """
     sample = labelled_sample(docs, labels, "quality", {1: good_docs, 0: poor_docs}, id_col, text_col, ("lang", "source", "n_chars"))
-    got = featured(sample, ["label", "turn", "weight"], "text").toPandas().sort_values(["turn", "label"], kind="stable")
+    got = featured(sample, ["doc_id", "label", "turn", "weight"], "text").toPandas()
+    got = got.assign(**{c: got[c].map(tuple) for c in ("content", "metadata")}).sort_values(
+        ["turn", "label", "doc_id", "content", "metadata"], kind="stable")
     content, metadata = (np.array(got[c].tolist()).reshape(len(got), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
     label, learn, weight = got["label"].to_numpy(), (got["turn"] >= CALIBRATION).to_numpy(), got["weight"].to_numpy()
     if len(set(label[learn])) < 2 or len(set(label[~learn])) < 2:
         return QualityModel(np.zeros(0), np.zeros(0), (np.zeros(0), np.zeros(0)), np.zeros(0), fixed=float(np.average(label, weights=weight)) if len(label) else 1.0)
-    share = min(1.0, pool_docs / max(1, docs.count()))
-    pool = featured(docs.sample(share, seed=9), [], text_col).toPandas()
-    views = tuple(np.array(pool[c].tolist()).reshape(len(pool), n) for c, n in (("content", CONTENT), ("metadata", METADATA)))
     labelled, scale = ((content[at], metadata[at], label[at], weight[at] / weight[at].mean()) for at in (learn, ~learn))
-    return co_train(labelled, views, scale)
+    return co_train(labelled, StoredPool(docs, sample, id_col, text_col), scale)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

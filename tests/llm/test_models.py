@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spendlens.llm.learning import labelled_sample, logistic, sigmoid
 from spendlens.llm.near_duplicates import near_duplicates
-from spendlens.llm.quality import Views, co_train, fit_quality, good_documents, score_quality
+from spendlens.llm.quality import ArrayPool, StoredPool, Views, co_train, featured, fit_quality, good_documents, score_quality
 from spendlens.llm.toxicity import (WINDOW, Scorer, ToxicityModel, best_cut, core, fit_toxicity, grams, harmless_documents,
                                     score_toxicity, train, window_starts)
 
@@ -164,3 +164,31 @@ def test_quality_means_the_same_however_many_labels_are_sampled(spark):
     for caps in ({}, {"good_docs": 80, "poor_docs": 80}):
         score = np.mean([r["score"] for r in score_quality(docs, fit_quality(docs, labels, **caps)).collect()])
         assert abs(score - 8 / 9) < 0.08
+
+
+def test_pool_is_all_unlabelled_documents(spark, tables):
+    docs, labels = tables
+    known = labelled_sample(docs, labels, "quality", {1: 40, 0: 15})
+    ids = {r["doc_id"] for r in known.select("doc_id").collect()}
+    rows = featured(docs, ["doc_id"], "text").toPandas().drop_duplicates(subset="doc_id", keep=False)
+    rows = rows[rows["doc_id"].notna() & ~rows["doc_id"].isin(ids)].sort_values("doc_id")
+    views = tuple(np.array(rows[c].tolist(), dtype=np.float32).astype(float) for c in ("content", "metadata"))
+    rng = np.random.default_rng(2)
+    weights = [rng.normal(size=views[v].shape[1] + 1) * 20 for v in (0, 1)]
+    some = docs.where(F.col("doc_id").isin([int(i) for i in rows["doc_id"]]) | F.col("doc_id").isin(list(ids)))
+    plain, one, many = ArrayPool(views), *(StoredPool(some.repartition(n), known, "doc_id", "text") for n in (1, 9))
+    for _ in range(2):
+        want = plain.surest(weights, 30)
+        assert sum(len(w[0]) for w in want) > 60
+        for pool in (one, many):
+            for w, g in zip(want, pool.surest(weights, 30), strict=True):
+                assert all(np.array_equal(a, b) for a, b in zip(w, g, strict=True))
+
+
+def test_model_does_not_depend_on_how_documents_are_split(spark):
+    rng = random.Random(8)
+    rows = [("l", i, " ".join(rng.choice(["red", "Green", "b-l", "4", "X1"]) for _ in range(6)), "en", f"s{i % 2}", 20, "s") for i in range(8000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(rows[i][2].count("4") < 2), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    one, many = (fit_quality(docs.repartition(n), labels) for n in (1, 7))
+    assert np.array_equal(one.content, many.content) and np.array_equal(one.mix, many.mix)
