@@ -12,20 +12,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KEYS = ["client_id", "platform", "campaign_name"]
 OUTPUT = ("client_id long, platform string, campaign_name string, upload_id long, roas double, prior_roas double, "
           "spend double, prior_spend double")
-STATE = "period_date array<date>, roas array<double>, spend array<double>"
+STATE = "period_date array<date>, upload_id array<bigint>, roas array<double>, spend array<double>"
+PERIOD = ["period_date", "upload_id", "roas", "spend"]
 
 
 def _compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Emit each arriving period next to the latest one strictly before it.
 
-    The state holds one entry per period of the campaign, so a late period finds its own
-    predecessor instead of whatever arrived last.
+    The state holds one entry per period of the campaign, that of the highest upload, so a late
+    period finds its own predecessor instead of whatever arrived last. Rows of a key come in chunks
+    of any order: all of them enter the state before the first is compared.
     """
-    dates, roas, spend = (list(x or []) for x in state.get) if state.exists else ([], [], [])
-    known = pd.DataFrame({"period_date": dates, "roas": roas, "spend": spend})
-    for frame in frames:
-        known = pd.concat([known, frame[["period_date", "roas", "spend"]]], ignore_index=True) if len(known) else frame[["period_date", "roas", "spend"]]
-        known = known.drop_duplicates("period_date", keep="last").sort_values("period_date", ignore_index=True)
+    held = zip(*state.get, strict=True) if state.exists else ()
+    arrived = [frame[PERIOD] for frame in frames]
+    known = pd.concat([pd.DataFrame(held, columns=PERIOD), *arrived] if state.exists else arrived, ignore_index=True)
+    known = known.sort_values("upload_id", kind="stable", na_position="first").groupby("period_date", as_index=False).last()
+    known = known.sort_values("period_date", ignore_index=True)
+    for frame in arrived:
         at = np.searchsorted(pd.to_datetime(known["period_date"]).to_numpy(), pd.to_datetime(frame["period_date"]).to_numpy(), side="left") - 1
         found = at >= 0
         prior = {c: np.where(found, known[c].to_numpy(dtype=float)[np.maximum(at, 0)], np.nan) for c in ("roas", "spend")}
@@ -34,7 +37,8 @@ def _compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             "prior_roas": pd.array(prior["roas"], dtype="Float64"), "spend": frame["spend"].to_numpy(),
             "prior_spend": pd.array(prior["spend"], dtype="Float64"),
         })
-    state.update((list(known["period_date"]), [float(x) for x in known["roas"]], [float(x) for x in known["spend"]]))
+    state.update((list(known["period_date"]), [None if pd.isna(x) else int(x) for x in known["upload_id"]],
+                  [float(x) for x in known["roas"]], [float(x) for x in known["spend"]]))
 
 
 def compare_with_previous(stream: DataFrame) -> DataFrame:
