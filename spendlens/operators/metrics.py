@@ -96,7 +96,7 @@ def _canonical(df: DataFrame, name: str, spend: str, conversions: str, revenue:
     def optional(column: str) -> Column:
         return F.col(column) if column in df.columns else F.lit(None).cast("double")
 
-    extra = [c for c in ("client", "client_id", "upload_id") if c in df.columns]
+    extra = [c for c in ("client", "client_id", "upload_id", "sent_as", "sent_at") if c in df.columns]
     return df.select(
         *extra,
         F.lit(platform).alias("platform"),

@@ -13,14 +13,21 @@ from spendlens.operators import alerts, anomalies, cleaning, history, learning,
 from spendlens.session import stored
 from spendlens.sources.exports import FILE, ORDINAL
 
+#: What a row was sent with: the name its file shares with the other parts of one export, and when it was written.
+SENT_AS, SENT_AT = "sent_as", "sent_at"
 ARRIVAL_COLUMNS = ["client_id", "upload_id", "period_start", "Campaign", "Impr.", "Clicks", "Cost (INR)", "Conv.", "Conv. value"]
 
 
 def export_stream(spark: SparkSession, folder: str, columns: list[str] | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of CSV exports dropped into a folder, all cells as text."""
+    """A stream of CSV exports dropped into a folder, all cells as text, with the sending they belong to.
+
+    Files of one sending share their name but for the number of the part (``part-00001-...``, as
+    Spark writes them, or ``january_part2.csv``); any other file is a sending of its own.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns or ARRIVAL_COLUMNS)
     reader = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.csv(folder)
+    name = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"(?i)(^|[-_. ])part[-_]?\d+", "$1"), r"-c\d+\.", ".")
+    return reader.csv(folder).select("*", name.alias(SENT_AS), F.col("_metadata.file_modification_time").alias(SENT_AT))
 
 
 def with_ids(batch: DataFrame) -> DataFrame:
@@ -35,18 +42,24 @@ def conform_batch(batch: DataFrame, arrived_on: Column | None = None) -> DataFra
     An upload without a readable period counts for the day it arrived. Rows without ids are left
     to ``rejected_rows``.
     """
+    for column, kind in ((SENT_AS, "string"), (SENT_AT, "timestamp")):
+        if column not in batch.columns:
+            batch = batch.withColumn(column, F.lit(None).cast(kind))
     keyed = with_ids(batch).where("reason is null").drop("reason").withColumn(FILE, F.col("upload_id").cast("string")).withColumn(
         ORDINAL, F.monotonically_increasing_id())
     rows = cleaning.clean_rows(cleaning.flagged_export(keyed, cleaning.GOOGLE, FILE, ORDINAL))
-    periods = rows.groupBy("client_id", "upload_id").agg(F.max(F.col("period_start").try_cast("date")).alias("period_start"))
-    facts = metrics.canonical_google(rows).join(periods, ["client_id", "upload_id"])
+    keys = ["client_id", "upload_id", SENT_AS]
+    periods = rows.groupBy(*keys).agg(F.max(F.col("period_start").try_cast("date")).alias("period_start")).toDF(
+        "of_client", "of_upload", "of_sending", "period_start")
+    same = (F.col("client_id") == F.col("of_client")) & (F.col("upload_id") == F.col("of_upload")) & F.col(SENT_AS).eqNullSafe(F.col("of_sending"))
+    facts = metrics.canonical_google(rows).join(periods, same).drop("of_client", "of_upload", "of_sending")
     return facts.withColumn("period_date", F.coalesce("period_start", F.current_date() if arrived_on is None else arrived_on))
 
 
 def rejected_rows(batch: DataFrame) -> DataFrame:
     """Rows of a micro-batch without client or upload, as they came, with the reason."""
     whole = with_ids(batch).where("reason is not null")
-    return whole.select("reason", F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns])).alias("row"))
+    return whole.select("reason", F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns if c not in (SENT_AS, SENT_AT)])).alias("row"))
 
 
 def write_batch(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
@@ -59,11 +72,30 @@ def stored_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def current_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored facts in which a period that was sent again counts as sent last."""
-    facts = stored_table(spark, folder, "campaigns")
-    keys = ["client_id", "platform", "period_date"]
-    newest = facts.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return facts.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+    """Stored facts in which a period that was sent again counts as sent last.
+
+    A sending is an upload and the files it came in, in whichever micro-batches those were read.
+    Uploads without a period give way only to a later sending of the same upload.
+    """
+    facts = spark.read.option("mergeSchema", True).parquet(f"{folder}/campaigns")
+    for column, kind in ((SENT_AS, "string"), (SENT_AT, "timestamp")):
+        if column not in facts.columns:
+            facts = facts.withColumn(column, F.lit(None).cast(kind))
+    # facts without a sending were stored before sendings were: their batch stands for it
+    named = facts.withColumn(SENT_AS, F.coalesce(SENT_AS, F.concat(F.lit("batch "), F.col("batch_id").cast("string"))))
+    sending = ["client_id", "upload_id", SENT_AS]
+    # files of a sending that were read in another batch may have had its period
+    dated = named.groupBy(*sending).agg(F.max("period_start").alias("sent_period"), F.min("period_date").alias("sent_day"))
+    named = named.join(dated, sending).withColumn("period_start", F.coalesce("period_start", "sent_period")).withColumn(
+        "period_date", F.coalesce("period_start", "sent_day")).drop("sent_period", "sent_day")
+    apart = named.withColumn("slot", F.when(F.col("period_start").isNull(), F.concat(F.lit("upload "), F.col("upload_id").cast("string"))).otherwise(
+        F.col("period_date").cast("string")))
+    keys = ["client_id", "platform", "slot"]
+    sent = apart.groupBy(*keys, "upload_id", SENT_AS).agg(F.max(SENT_AT).alias("at"), F.max("batch_id").alias("batch"))
+    newest = sent.groupBy(*keys).agg(F.max_by(F.struct("upload_id", SENT_AS), F.struct("at", "batch", "upload_id", SENT_AS)).alias("last")).select(
+        *keys, "last.*")
+    return apart.join(newest, [*keys, "upload_id", SENT_AS], "left_semi").drop("batch_id", "slot", SENT_AS, SENT_AT).select(
+        [c for c in facts.columns if c not in ("batch_id", SENT_AS, SENT_AT)])
 
 
 def arrival_pipeline(folder: str) -> Callable[[DataFrame, int], None]:

@@ -1,5 +1,7 @@
+import os
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendlens.sources import model
@@ -107,3 +109,44 @@ def test_arrivals_keep_rejects_and_fall_back_to_the_day(spark, tmp_path):
     assert [(r["campaign_name"], r["period_date"] is not None) for r in facts] == [("Alpha", True)]
     assert {r["reason"] for r in arrivals.stored_table(spark, tables, "rejects").collect()} == {"no client", "no upload"}
     assert arrivals.stored_table(spark, tables, "benchmarks").count() == 1
+
+
+HEAD = "client_id,upload_id,period_start,Campaign,Impr.,Clicks,Cost (INR),Conv.,Conv. value\n"
+
+
+def arrive(spark, tmp_path, files, at_once):
+    """Current (upload, campaign) pairs after files arrived in their order, at most ``at_once`` a batch."""
+    inbox, tables = tmp_path / "inbox", str(tmp_path / "tables")
+    inbox.mkdir()
+    for i, (name, lines) in enumerate(files.items()):
+        (inbox / name).write_text(HEAD + "".join(f"{line},10,1,5,1,1\n" for line in lines))
+        os.utime(inbox / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = arrivals.export_stream(spark, str(inbox), files_per_trigger=at_once)
+    arrivals.run_available(stream, arrivals.arrival_pipeline(tables), str(tmp_path / "c"))
+    return sorted((r["upload_id"], r["campaign_name"]) for r in arrivals.current_facts(spark, tables).collect())
+
+
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_sendings_count_whole_and_once_in_any_batches(spark, tmp_path, at_once):
+    files = {
+        "part-00000-aa-c000.csv": ["1,7,2026-01-01,Old"], "part-00001-aa-c000.csv": ["1,7,2026-01-01,Older"],
+        "part-00000-bb-c000.csv": ["1,7,2026-01-01,Alpha", "1,9,,Gamma"], "part-00001-bb-c000.csv": ["1,7,2026-01-01,Beta"],
+        "x.csv": ["1,10,,Delta"],
+    }
+    assert arrive(spark, tmp_path, files, at_once) == [(7, "Alpha"), (7, "Beta"), (9, "Gamma"), (10, "Delta")]
+
+
+def test_comparison_does_not_depend_on_chunks(spark, tmp_path):
+    schema = "client_id long, platform string, campaign_name string, upload_id long, period_date date, roas double, spend double"
+    rows = [(1, "google", "a", m, date(2026, m, 1), float(m), 1.0) for m in (5, 2, 6, 1, 4, 3)]
+    rows += [(1, "google", "a", 0, date(2026, 3, 1), 99.0, 1.0), (1, "google", "a", 20, date(2026, 2, 1), 20.0, 1.0), (1, "google", "a", 19, date(2026, 2, 1), 19.0, 1.0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = state.compare_with_previous(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["upload_id"]: r["prior_roas"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: None, 2: 1.0, 20: 1.0, 19: 1.0, 3: 20.0, 0: 20.0, 4: 3.0, 5: 4.0, 6: 5.0}
