@@ -35,6 +35,8 @@ ALIKE = 0.6
 SIGNED = "doc_id long, n_shingles long, node binary, signature binary, keys array<long>"
 #: Ids of clustered nodes are broadcast up to this many (24 bytes each), else joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Number of a row while copies are dropped.
+ROW = "_row_of_near_duplicates"
 _EDGE = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
 
@@ -168,10 +170,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each group, with all their columns; rows that repeat an id stay together."""
-    gone = stored(near_duplicates(docs, words, similarity, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
-    few = gone.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone"), "left_anti")
+    """The documents that stay, one row of each group, with all their columns.
+
+    Rows are told apart by a stored number, so rows that repeat an id go or stay each on its own; of
+    a group the row of the smallest id stays. Rows without id are linked with nothing and stay.
+    """
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    with_id = numbered.where(F.col(id_col).cast("long").isNotNull())
+    copies = stored(near_duplicates(with_id, words, similarity, ROW, text_col).where(~F.col("kept")).select(
+        F.col("doc_id").alias("member"), "component_id"))
+    members = copies.union(copies.select(F.col("component_id").alias("member"), "component_id").distinct())
+    few = copies.count() <= BROADCAST_NODES // 2
+    ids = numbered.select(ROW, F.col(id_col).cast("long").alias("id")).join(
+        F.broadcast(members) if few else members, F.col(ROW) == F.col("member")).select("member", "component_id", "id")
+    stays = ids.groupBy("component_id").agg(F.min(F.struct("id", "member")).alias("first")).select(F.col("first.member").alias("stays"))
+    gone = stored(members.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias("gone")))
+    return numbered.join(F.broadcast(gone) if few else gone, F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
 
 
 @named("op8_circulant_minhash")

@@ -207,3 +207,11 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "src long, dst long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(3, x), (5, x + " end"), (1, y), (3, y + " end"), (7, z), (7, z), (None, z), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, one_of_each(docs).collect()), key=str)
+    assert got == sorted([(3, x), (1, y), (7, z), (None, z), (8, "")], key=str)
