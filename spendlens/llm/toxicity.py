@@ -253,22 +253,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     learnt = sample.where(F.col("turn") >= CALIBRATION).orderBy("doc_id", "text").toPandas()
     worded = learnt[learnt["text"].fillna("").str.strip() != ""]
     if worded["label"].nunique() < 2:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, fixed=float(learnt["label"].mean()) if len(learnt) else 0.0)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, fixed=float(np.average(learnt["label"], weights=learnt["weight"])) if len(learnt) else 0.0)
     model = train(worded["text"].tolist(), worded["label"].to_numpy())
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m for m, _ in scorer.logits(batch.column(0).to_pylist())]), batch.column(1)], ["margin", "label"])
+                [pa.array([m for m, _ in scorer.logits(batch.column(0).to_pylist())], pa.float64()), *batch.columns[1:]], ["margin", "label", "weight"])
 
-    seen = sample.where(F.col("turn") < CALIBRATION).select("text", "label").mapInArrow(margins, "margin double, label int").toPandas()
+    seen = sample.where(F.col("turn") < CALIBRATION).select("text", "label", "weight").mapInArrow(
+        margins, "margin double, label int, weight double").toPandas()
     if seen["label"].nunique() == 2:
-        counts = labels.groupBy("toxic").count().collect()
-        usual = {int(r["toxic"]): r["count"] for r in counts if r["toxic"] is not None}
-        sampled = seen["label"].value_counts()
-        weight = seen["label"].map({k: usual.get(k, 1) / sampled[k] for k in sampled.index}).to_numpy()
-        model.shift = -best_cut(seen["margin"].to_numpy(), seen["label"].to_numpy(), weight)
+        model.shift = -best_cut(seen["margin"].to_numpy(), seen["label"].to_numpy(), seen["weight"].to_numpy())
     return model
 
 

@@ -192,3 +192,15 @@ def test_model_does_not_depend_on_how_documents_are_split(spark):
     labels = spark.createDataFrame([(i, int(rows[i][2].count("4") < 2), 0) for i in range(400)], "doc_id long, quality int, toxic int")
     one, many = (fit_quality(docs.repartition(n), labels) for n in (1, 7))
     assert np.array_equal(one.content, many.content) and np.array_equal(one.mix, many.mix)
+
+
+def test_toxicity_ignores_held_out_labels(spark, monkeypatch):
+    """The cut stays where it was when held-out labels change or labels without documents are added."""
+    rows, labels = corpus(400, 3)
+    seen = []
+    monkeypatch.setattr("spendlens.llm.toxicity.best_cut", lambda margins, toxic, weight: seen.append(sum(weight[toxic == 1]) / sum(weight)) or 0.0)
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    for changed in (False, True):
+        mine = [(i, q, 1 if changed and apart(i) else t) for i, q, t in labels] + [(None, 1, 1)] * (500 if changed else 0)
+        fit_toxicity(docs, spark.createDataFrame(mine, "doc_id long, quality int, toxic int"))
+    assert seen[0] == seen[1]
