@@ -265,7 +265,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     seen = sample.where(F.col("turn") < CALIBRATION).select("text", "label", "weight").mapInArrow(
         margins, "margin double, label int, weight double").toPandas()
     if seen["label"].nunique() == 2:
-        model.shift = -best_cut(seen["margin"].to_numpy(), seen["label"].to_numpy(), seen["weight"].to_numpy())
+        usual = learnt.groupby("label")["weight"].sum().add(seen.groupby("label")["weight"].sum(), fill_value=0)
+        weight = seen["label"].map(usual / seen["label"].value_counts()).to_numpy()
+        model.shift = -best_cut(seen["margin"].to_numpy(), seen["label"].to_numpy(), weight)
     return model
 
 
