@@ -6,7 +6,8 @@ import importlib
 
 from spendlens.llm.shared import QUERIES, SQL
 
-MODULES = ["token_files", "packing", "merge_replay", "toxicity", "quality", "token_counts", "url_rules", "near_duplicates", "cover_tree", "bit_codes"]
+MODULES = ["token_files", "packing", "merge_replay", "toxicity", "quality", "token_counts", "url_rules", "near_duplicates", "cover_tree", "bit_codes", "whitening",
+           "spelling", "license_scan"]
 
 
 def load() -> tuple[dict, dict]:
