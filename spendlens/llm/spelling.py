@@ -22,8 +22,8 @@ from spendlens.llm.shared import named, stored, table
 _RUN, _LETTER = re.compile("[A-Za-z\u00C0-\u00FF]+"), re.compile("[A-Za-z\u00C0-\u00FF]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Symbols of the reduced alphabet; distinct words a task holds before it passes their counts on; characters cut up at once.
-SYMBOLS = 16
-WORDS_HELD = 300_000
+SYMBOLS = 6
+WORDS_HELD = 150_000
 PIECE = 1_000_000
 
 
@@ -150,7 +150,9 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
                 rows = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([k for ks in keys for k in ks], pa.int64()), some.take(rows)], ["key", "word"])
 
-    left = words.select("word").mapInArrow(around, "key long, word string")
+    # the vocabulary is small beside its neighbourhoods: spread before they are written out
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = words.select("word").repartition(parts).mapInArrow(around, "key long, word string")
     right = words.select("word", "n").mapInArrow(keyed, "key long, near string, near_n long")
     met = left.join(right, "key").where(F.abs(F.length("word") - F.length("near")) <= 1)
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
