@@ -2,11 +2,13 @@
 
 A text is cut where its tokenizer's pre-tokenization is certain to cut as well (see
 ``spaced_chunks``), so encoding chunk by chunk equals encoding the text. Every distinct chunk is
-encoded once by the library and remembered, up to a bound; most of a corpus repeats.
+encoded once by the library and remembered, up to a bound; most of a corpus repeats. Special strings
+of the file are cut out first, as the library does, so what stands before them ends there.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -20,7 +22,7 @@ _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _TWO_WHITE = re.compile(r"\s\s")
 #: ASCII signs that form one piece when they follow letters; the apostrophe starts contractions.
 _SIGNS = '.,!?;:%&*$#()[]{}"/\\|+-=@<>~^_`'
-CHUNK_LIMIT = 600_000
+CHUNK_LIMIT = 1_000_000
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -54,65 +56,114 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            described = json.load(file)
+        model, added = described["model"], described.get("added_tokens") or []
+        self.special = {t["content"] for t in added}
+        self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=lambda t: (-len(t), t)))) + ")") if self.special else None
+        #: special strings that take in what stands around them, or change with their surroundings, keep their text whole
+        self.whole = any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
         suffix = model.get("end_of_word_suffix")
         self.word_ends = bool(suffix)
-        self.cut = word_chunks if self.word_ends else spaced_chunks
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.edge = np.zeros(size, dtype=bool)  # ids that end (start) a word
         for piece, at in model["vocab"].items():
             self.edge[at] = piece.endswith(suffix) if self.word_ends else piece.startswith("Ġ")
         self.limit = limit
         self.known: dict = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict = {}
+
+    def cut(self, text: str) -> list:
+        """Chunks of a text: bytes between white space for words with ends, else strings that keep their blank."""
+        if self.special and (self.whole or not self.word_ends) and any(t in text for t in self.special):
+            if self.whole:
+                return [text.encode() if self.word_ends else text]
+            parts = self.special_cut.split(text)
+            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else spaced_chunks(part))]
+        return word_chunks(text) if self.word_ends else spaced_chunks(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes object a text; null texts count as empty."""
+        """One bytes object a text; null texts count as empty.
+
+        Memory has two generations of ``limit // 2`` chunks: when the younger is full it becomes the
+        older one, from which chunks that are met again come back.
+        """
         cut = [self.cut(t) if t else [] for t in texts]
-        fresh = set().union(*cut) - self.known.keys() if cut else set()
-        if len(self.known) + len(fresh) > self.limit:
-            self.known, self.parts = {}, {}
-            fresh = set().union(*cut)
+        wanted = set().union(*cut)
+        fresh = wanted - self.known.keys()
+        if len(self.known) + len(fresh) > self.limit // 2:
+            self.older, self.known = self.known, {}
+            fresh = wanted
+        fresh = self._not_recalled(fresh)
         if fresh:
-            self._learn(list(fresh))
+            collecting = gc.isenabled()
+            gc.disable()  # many small objects, none in a cycle
+            try:
+                self._learn(list(fresh))
+            finally:
+                if collecting:
+                    gc.enable()
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
+    def _not_recalled(self, fresh: set) -> set:
+        """Chunks that the older generation does not hold either; those it holds come back."""
+        again = fresh & self.older.keys() if self.older else ()
+        if again:
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            return fresh - again
+        return fresh
+
     def _learn(self, chunks: list) -> None:
-        plain: list[tuple[object, str, str]] = []
-        odd: list[tuple[object, str]] = []
-        for chunk in chunks:
+        """Plain words are learnt together; those with signs behind them as word and signs; anything else alone."""
+        known, mixed = self.known, []
+        if self.word_ends:
+            plain = [c for c in chunks if c.isalpha()]  # of bytes: ASCII letters only
+            words = {c.lower() for c in plain}
+            rest = [c for c in chunks if not c.isalpha()]
+        else:
+            plain = []
+            words = {c for c in chunks if c.isascii() and c[:1] == " " and c[1:].isalpha()}
+            rest = [c for c in chunks if c not in words]
+        odd = []
+        for chunk in rest:
             text = chunk.decode() if self.word_ends else chunk
             core = text.rstrip(_SIGNS)
             letters = core if self.word_ends else core[1:] if core[:1] == " " else core
             # lower case can turn a letter into letter and mark, which would join the signs behind it
-            if letters.isascii() and letters.isalpha() or (
-                    letters.isalpha() and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters)):
-                if self.word_ends and letters.isascii():
-                    core = core.lower()
-                plain.append((chunk, core, text[len(core):]))
+            if text not in self.special and (letters.isascii() and letters.isalpha() or (
+                    letters.isalpha() and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters))):
+                signs = text[len(core):]
+                if self.word_ends:
+                    core, signs = (core.lower() if letters.isascii() else core).encode(), signs.encode()
+                mixed.append((chunk, core, signs))
             else:
-                odd.append((chunk, text))
-        parts = {p for _, core, signs in plain for p in (core, signs)} - self.parts.keys()
-        joined = [p for p in parts if (p[-1:].isalpha() and (self.word_ends or p[0] == " "))]
-        self._learn_joined(joined)
-        rest = [p for p in parts if p not in self.parts]
-        for p, ids in zip(rest, self._library(rest), strict=True):
-            self.parts[p] = ids
-        for chunk, core, signs in plain:
-            self.known[chunk] = self.parts[core] + self.parts[signs] if signs else self.parts[core]
-        for (chunk, _), ids in zip(odd, self._library([t for _, t in odd]), strict=True):
-            self.known[chunk] = ids
+                odd.append(chunk)
+        needed = words.union((core for _, core, _ in mixed), (signs for _, _, signs in mixed))
+        needed = self._not_recalled(needed - known.keys())
+        self._learn_joined([p for p in needed if self._joins(p)])
+        self._learn_alone([p for p in needed if p not in known])
+        known.update([(c, known[c.lower()]) for c in plain])
+        known.update([(c, known[core] + known[signs]) for c, core, signs in mixed if signs])
+        self._learn_alone(odd)
+
+    def _joins(self, part) -> bool:
+        """Whether a word can be told from its neighbours by the marks of its pieces."""
+        if self.word_ends:
+            return part[-1:] >= b"a" and part.isalpha() or part.decode()[-1:].isalpha()
+        return part[:1] == " " and part[-1:].isalpha()
+
+    def _learn_alone(self, parts: list) -> None:
+        self.known.update(zip(parts, self._library([p.decode() if self.word_ends else p for p in parts])))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
-    def _learn_joined(self, words: list[str], at_once: int = 1000) -> None:
+    def _learn_joined(self, words: list, at_once: int = 1000) -> None:
         """Many words in one call; marked pieces tell where each word's ids end."""
         groups = [words[i:i + at_once] for i in range(0, len(words), at_once)]
-        between = " " if self.word_ends else ""
-        coded = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        joined = [b" ".join(g).decode() if self.word_ends else "".join(g) for g in groups]
+        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         for group, c in zip(groups, coded, strict=True):
             ids = np.array(c.ids, dtype="<u4")
             marks = np.flatnonzero(self.edge[ids])
@@ -120,8 +171,7 @@ class ChunkEncoder:
             if len(bounds) != len(group) + 1 or bounds[0] != 0:
                 continue  # left to the call for single texts
             raw, cuts = ids.tobytes(), (bounds * 4).tolist()
-            for k, word in enumerate(group):
-                self.parts[word] = raw[cuts[k]:cuts[k + 1]]
+            self.known.update([(w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:])])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -55,6 +55,18 @@ def test_chunk_encoder_equals_library(name, limit):
     assert coder.encode([None, ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_beside_white_space(name):
+    """What stands before a special string ends there, white space too."""
+    rng = random.Random(8)
+    pieces_of = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "\n\n", "  ", "\n", " ", "\t \t", "\u3000\u3000", "a", "B c", ".", "'s", "\0", "é", "\u0301"]
+    texts = ["a\n\n<|endoftext|>b"] + ["".join(rng.choice(pieces_of) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    want = [x.ids for x in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+    coder = ChunkEncoder(P.path(name), 300)
+    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 50) for x in coder.encode(texts[i:i + 50])]
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 70 * BLOCK + 3])
 @pytest.mark.parametrize("kind", ["zipf", "equal", "wide"])
 def test_blocks_round_trip(n, kind):
