@@ -154,10 +154,14 @@ def delta(current: Column | str, previous: Column | str) -> Column:
 
 def platform_summary(campaigns: DataFrame, keys: list[str], roas_is_ratio: Column | None = None) -> DataFrame:
     """Totals per key and platform; ROAS as ratio of sums, or as mean where no revenue is known."""
+    use_ratio = roas_is_ratio if roas_is_ratio is not None else F.count("conversion_value") > 0
+    return campaigns.groupBy(*keys, "platform").agg(*_summary_columns(use_ratio))
+
+
+def _summary_columns(use_ratio: Column) -> list[Column]:
     ratio_of_sums = ratio(total("conversion_value"), total("spend"))
     mean_roas = mean(F.coalesce("roas", F.lit(0.0)))
-    use_ratio = roas_is_ratio if roas_is_ratio is not None else F.count("conversion_value") > 0
-    return campaigns.groupBy(*keys, "platform").agg(
+    return [
         rnd(total("spend"), 2).alias("total_spend"),
         rnd(total("conversion_value"), 2).alias("total_revenue"),
         rnd(F.when(use_ratio, ratio_of_sums).otherwise(mean_roas), 2).alias("overall_roas"),
@@ -169,7 +173,23 @@ def platform_summary(campaigns: DataFrame, keys: list[str], roas_is_ratio: Colum
         count_where(F.col("severity") == "critical").alias("critical_count"),
         count_where(F.col("severity") == "warning").alias("warning_count"),
         count_where(F.col("severity") == "ok").alias("ok_count"),
-    )
+    ]
+
+
+#: Levels of ``account_rollup`` by their grouping id.
+LEVELS = {7: "all", 3: "client", 1: "platform", 0: "campaign"}
+
+
+def account_rollup(campaigns: DataFrame) -> DataFrame:
+    """The summary of every campaign, of each client's platforms, of each client and of everything, in one aggregation.
+
+    Sums, means and ratios of a level come from its own rows. ``level`` tells the levels apart: a
+    null name is a key that was rolled up only above its level.
+    """
+    by_level = campaigns.rollup("client_id", "platform", "campaign_name").agg(
+        F.grouping_id("client_id", "platform", "campaign_name").alias("at"), *_summary_columns(F.count("conversion_value") > 0))
+    level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])[F.col("at").cast("int")]
+    return by_level.select(level.alias("level"), *[c for c in by_level.columns if c != "at"])
 
 
 def rebuilt_summary(campaigns: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,6 +28,14 @@ def platform_summary(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.platform_summary(model.campaigns(spark, sf), ["client_id"])
 
 
+@query("account_rollup", f"""
+SELECT CASE GROUPING(client_id, platform, campaign_name) WHEN 7 THEN 'all' WHEN 3 THEN 'client' WHEN 1 THEN 'platform' ELSE 'campaign' END AS level,
+  client_id, platform, campaign_name, {SUMMARY_COLUMNS}
+FROM campaigns GROUP BY ROLLUP (client_id, platform, campaign_name)""")
+def account_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.account_rollup(model.campaigns(spark, sf))
+
+
 @query("upload_platform_summary",
        f"SELECT client_id, upload_id, platform, {SUMMARY_COLUMNS} FROM campaigns GROUP BY client_id, upload_id, platform")
 def upload_platform_summary(spark: SparkSession, sf: str) -> DataFrame:

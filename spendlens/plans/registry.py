@@ -12,7 +12,7 @@ from spendlens.plans.views_sql import with_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 MODULES = ["performance", "dashboards", "signals", "forecasts", "health", "planning", "state",
-           "conforming", "enrichment", "reports_text", "arrivals"]
+           "conforming", "enrichment", "reports_text", "arrivals", "tables"]
 
 
 @dataclass(frozen=True)

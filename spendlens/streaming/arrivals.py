@@ -62,22 +62,40 @@ def rejected_rows(batch: DataFrame) -> DataFrame:
     return whole.select("reason", F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns if c not in (SENT_AS, SENT_AT)])).alias("row"))
 
 
-def write_batch(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
-    """Store a batch under its own id; a repeated batch replaces itself instead of doubling rows."""
-    df.write.mode("overwrite").parquet(f"{folder}/{table}/batch_id={batch_id}")
+def write_batch(df: DataFrame, folder: str, table: str, batch_id: int, by: str | None = None) -> None:
+    """Store a batch under its own id; a repeated batch replaces itself instead of doubling rows.
+
+    ``by`` names a column whose values get folders of their own, which later reads can skip.
+    """
+    writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
+    writer.mode("overwrite").parquet(f"{folder}/{table}/batch_id={batch_id}")
 
 
 def stored_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}")
 
 
-def current_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored facts in which a period that was sent again counts as sent last.
+def stored_facts(spark: SparkSession, folder: str, clients: list[int] | None = None) -> DataFrame:
+    """Facts of all batches, or only the folders of some clients."""
+    found = spark.read.parquet(f"{folder}/campaigns")
+    if SENT_AS not in found.columns:  # a file from before sendings were stored
+        found = spark.read.option("mergeSchema", True).parquet(f"{folder}/campaigns")
+    facts = spark.read.schema(found.schema).parquet(f"{folder}/campaigns").withColumn("client_id", F.col("client_id").cast("long"))
+    return facts if clients is None else facts.where(F.col("client_id").isin(*clients))
+
+
+def arrived_clients(batch: DataFrame) -> list[int]:
+    """The clients of a micro-batch, to tell which folders its checks have to read."""
+    return [r[0] for r in batch.select(F.col("client_id").cast("long")).where("client_id is not null").distinct().collect()]
+
+
+def current_facts(spark: SparkSession, folder: str, clients: list[int] | None = None) -> DataFrame:
+    """Stored facts in which a period that was sent again counts as sent last, of all or of some clients.
 
     A sending is an upload and the files it came in, in whichever micro-batches those were read.
     Uploads without a period give way only to a later sending of the same upload.
     """
-    facts = spark.read.option("mergeSchema", True).parquet(f"{folder}/campaigns")
+    facts = stored_facts(spark, folder, clients)
     for column, kind in ((SENT_AS, "string"), (SENT_AT, "timestamp")):
         if column not in facts.columns:
             facts = facts.withColumn(column, F.lit(None).cast(kind))
@@ -102,13 +120,12 @@ def arrival_pipeline(folder: str) -> Callable[[DataFrame, int], None]:
     """The work per micro-batch: conform and store facts, rejects and the benchmarks they change."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        facts = conform_batch(batch)
-        write_batch(facts, folder, "campaigns", batch_id)
-        write_batch(rejected_rows(batch), folder, "rejects", batch_id)
         spark = batch.sparkSession
-        arrived = spark.read.parquet(f"{folder}/campaigns/batch_id={batch_id}").select("client_id").distinct()
-        theirs = current_facts(spark, folder).join(arrived, "client_id", "left_semi")
-        write_batch(learning.client_benchmarks(theirs), folder, "benchmarks", batch_id)
+        write_batch(rejected_rows(batch), folder, "rejects", batch_id)
+        clients = arrived_clients(with_ids(batch).where("reason is null"))
+        if clients:  # a batch of rejects alone has no facts to store
+            write_batch(conform_batch(batch), folder, "campaigns", batch_id, by="client_id")
+            write_batch(learning.client_benchmarks(current_facts(spark, folder, clients)), folder, "benchmarks", batch_id)
 
     return run
 
@@ -125,9 +142,8 @@ def checks_pipeline(folder: str, clients: DataFrame, rules: DataFrame) -> Callab
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        facts = current_facts(spark, folder)
+        theirs = current_facts(spark, folder, arrived_clients(batch))
         arrived = batch.select("client_id", "upload_id").distinct()
-        theirs = facts.join(arrived.select("client_id").distinct(), "client_id", "left_semi")
         uploads = theirs.select("client_id", "upload_id", "period_date").distinct()
         ranks = stored(history.rank_uploads(uploads).select("client_id", "upload_id", "upload_rank", "upload_count"))
         # only the arrived uploads and the history their checks look back on

@@ -150,3 +150,46 @@ def test_comparison_does_not_depend_on_chunks(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {r["upload_id"]: r["prior_roas"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: None, 2: 1.0, 20: 1.0, 19: 1.0, 3: 20.0, 0: 20.0, 4: 3.0, 5: 4.0, 6: 5.0}
+
+
+def test_comparison_forgets_periods_beyond_its_horizon(spark, tmp_path):
+    """State holds the periods of the horizon only, and a re-sent period overwrites its own entry."""
+    schema = "client_id long, platform string, campaign_name string, upload_id long, period_date date, roas double, spend double"
+
+    def send(*rows):
+        spark.createDataFrame([(1, "google", "a", *r) for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.compare_with_previous(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), horizon_days=100)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(
+            availableNow=True).start().awaitTermination()
+
+    send(*[(i, date(2026, 1, 1) + timedelta(days=30 * i), float(i), 1.0) for i in range(12)])
+    send((20, date(2026, 1, 1) + timedelta(days=30 * 11), 50.0, 2.0), (21, date(2026, 1, 1) + timedelta(days=30 * 12), 60.0, 3.0))
+    send((22, date(2026, 1, 2), 70.0, 4.0))  # long past the horizon: nothing before it is held
+    held = spark.read.format("statestore").option("stateVarName", "periods").load(str(tmp_path / "c"))
+    days = sorted(r[0] for r in held.select("user_map_key.period_date").collect())
+    assert days == [date(2026, 1, 1) + timedelta(days=30 * i) for i in range(9, 13)]
+    got = {r["upload_id"]: r["prior_roas"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[11] == 10.0 and got[20] == 10.0 and got[21] == 50.0 and got[22] is None and len(got) == 15
+
+
+def test_batches_read_the_folders_of_their_clients(spark, tmp_path):
+    facts = spark.createDataFrame([(c, 1, 1.0) for c in range(5)], "client_id long, upload_id long, spend double").withColumns(
+        {arrivals.SENT_AS: F.lit("s"), arrivals.SENT_AT: F.lit(None).cast("timestamp")})
+    arrivals.write_batch(facts, str(tmp_path), "campaigns", 0, by="client_id")
+    some = arrivals.stored_facts(spark, str(tmp_path), arrivals.arrived_clients(facts.where("client_id > 2")))
+    assert sorted(r["client_id"] for r in some.collect()) == [3, 4]
+    assert "PartitionFilters: [cast(client_id" in (plan := some._jdf.queryExecution().executedPlan().toString()) or "client_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_sketches_of_batches_merge(spark, tmp_path):
+    from spendlens.streaming import benchmarks
+
+    facts = spark.range(20000).selectExpr("id % 2 AS client_id", "'google' AS platform", "CAST(id AS double) AS roas", "CAST(NULL AS double) AS cac",
+                                          "CAST(id % 7 AS double) AS ctr")
+    work = benchmarks.sketch_pipeline(str(tmp_path / "s"))
+    for batch_id, part in enumerate([facts.where("id % 3 = 0"), facts.where("id % 3 = 1"), facts.where("id % 3 = 2"), facts.where("id % 3 = 2")]):
+        work(part, min(batch_id, 2))  # the last batch comes twice
+    found = benchmarks.against_exact(benchmarks.medians(spark, str(tmp_path / "s")), facts).collect()
+    assert len(found) == 6 and all(r["within_bound"] for r in found)
+    assert {(r["metric"], r["n"]) for r in found} == {("roas", 10000), ("cac", 0), ("ctr", 10000)}
+    assert all(r["median"] is None for r in found if r["metric"] == "cac")
