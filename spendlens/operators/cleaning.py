@@ -11,6 +11,7 @@ from spendlens import fixed_values as fx
 from spendlens.functions import dates, numbers
 from spendlens.functions.guards import col, count_where
 from spendlens.operators import columns as headers
+from spendlens.session import stored
 
 
 @dataclass(frozen=True)
@@ -45,34 +46,45 @@ def date_columns(names: list[str]) -> list[str]:
     return [c for c in names if any(word in c.lower() for word in fx.DATE_WORDS)]
 
 
-def day_first_votes(df: DataFrame, file: str, ordinal: str, names: list[str]) -> DataFrame:
-    """Per file the order of day and month of each date column, null where no cell tells.
+def date_cells(df: DataFrame, file: str, ordinal: str, names: list[str]) -> DataFrame:
+    """Distinct cells per file and date column (``at``, its number), with the order of day and month that holds there.
 
-    The first cell that can only be read one way decides for its whole file column.
+    The first cell that can only be read one way decides for its whole file column; null where no
+    cell tells. Which cell comes first matters, and is looked up by ``ordinal``, only in file columns
+    whose cells disagree.
     """
-    votes = df.select(file, F.col(ordinal).alias("place"), *[dates.shows_day_first(f"`{c}`").alias(f"vote {c}") for c in names])
-    return votes.groupBy(file).agg(*[
-        F.min_by(f"vote {c}", F.when(F.col(f"vote {c}").isNotNull(), F.col("place"))).alias(f"day first {c}") for c in names])
+    each = F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in names])).alias("at", "cell")
+    all_cells = df.select(F.col(f"`{file}`").alias("file"), F.col(f"`{ordinal}`").alias("place"), each).where(F.col("cell").isNotNull())
+    cells = stored(all_cells.select("file", "at", "cell").distinct())
+    vote = dates.shows_day_first("cell")
+    votes = cells.groupBy(F.col("file").alias("of_file"), F.col("at").alias("of_column")).agg(
+        F.min(vote).alias("one"), F.max(vote).alias("other"))
+    same = F.col("file").eqNullSafe(F.col("of_file")) & (F.col("at") == F.col("of_column"))
+    split = votes.where("one <> other").select("of_file", "of_column")
+    if split.isEmpty():
+        return cells.join(votes, same).select("file", "at", "cell", F.col("one").alias("day_first"))
+    first = all_cells.join(split, same, "left_semi").where(vote.isNotNull()).groupBy("file", "at").agg(F.min_by(vote, "place").alias("first"))
+    settled = votes.join(first, same, "left").select("of_file", "of_column", F.coalesce("first", "one").alias("day_first"))
+    return cells.join(settled, same).select("file", "at", "cell", "day_first")
 
 
 def normalize_dates(df: DataFrame, file: str, ordinal: str, as_of_year: int | None = None) -> DataFrame:
     """Normalise every date-like column; each file's own day/month order applies, day first without one.
 
-    One light aggregate finds the order per file; cells are parsed in the row.
+    An export repeats few dates in many rows: every distinct cell of a file is parsed once and joined back.
     """
     names = [c for c in date_columns(df.columns) if c not in (file, ordinal)]
     if not names:
         return df
-    votes = day_first_votes(df, file, ordinal, names).withColumnRenamed(file, "voted file")
-    rows = df.join(votes, F.col(f"`{file}`").eqNullSafe(F.col("`voted file`")), "left")
-
-    def parsed(name: str) -> Column:
-        clean = dates.normalize_date(f"`{name}`", F.col(f"`day first {name}`"), as_of_year)
-        return F.struct(clean.alias("value"), F.col(f"`{name}`").cast("string").alias("raw"))
-
-    cells = rows.withColumns({f"cell {c}": parsed(c) for c in names})
-    differs = [F.coalesce(F.col(f"`cell {c}`.value") != F.col(f"`cell {c}`.raw"), F.lit(False)).alias(f"changed {c}") for c in names]
-    return cells.select(*[F.col(f"`cell {c}`.value").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns], *differs)
+    cells = date_cells(df, file, ordinal, names)
+    parsed = cells.select("file", "at", "cell", dates.normalize_date("cell", F.col("day_first"), as_of_year).alias("clean"))
+    rows = df
+    for at, name in enumerate(names):
+        of_column = parsed.where(F.col("at") == at).select(*[F.col(c).alias(f"{c} {name}") for c in ("file", "cell", "clean")])
+        same = F.col(f"`{file}`").eqNullSafe(F.col(f"`file {name}`")) & (F.col(f"`{name}`").cast("string") == F.col(f"`cell {name}`"))
+        rows = rows.join(of_column, same, "left")
+    differs = [F.coalesce(F.col(f"`clean {c}`") != F.col(f"`cell {c}`"), F.lit(False)).alias(f"changed {c}") for c in names]
+    return rows.select(*[F.col(f"`clean {c}`").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns], *differs)
 
 
 def flagged_export(df: DataFrame, source: Source, file: str, ordinal: str,
