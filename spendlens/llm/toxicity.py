@@ -218,18 +218,21 @@ class SoftmaxOverBags:
                 parameter[rows] -= (rate * step).astype(parameter.dtype)
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (25, 15, 15, 15, 15), seed: int = 3) -> ToxicityModel:
+def train(texts: list[str], toxic: np.ndarray, first_steps: int = 40, steps: int = 15, rounds: int = 12, settled: float = 0.99,
+          seed: int = 3) -> ToxicityModel:
     """Train on windows of texts (none without words) whose labels hold for the whole text.
 
     The first round takes windows of each text at random. Later ones take, by the model so far,
     the most toxic window of each toxic text, where the cause of its label is most likely, and the
-    most toxic windows of each clean text, which must not decide for toxic.
+    most toxic windows of each clean text, which must not decide for toxic. Rounds end when the
+    share ``settled`` of the toxic texts keep their window, so what is learnt hangs less on the first draw.
     """
     bags = Bags(texts)
     model = SoftmaxOverBags(bags, seed)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags.doc))
-    for turn, steps in enumerate(rounds):
+    before = None
+    for turn in range(rounds):
         if turn:
             order = np.argsort(-bags.means(model.values()), kind="stable")
         by_doc = order[np.argsort(bags.doc[order], kind="stable")]
@@ -238,7 +241,11 @@ def train(texts: list[str], toxic: np.ndarray, rounds: tuple[int, ...] = (25, 15
         place = np.arange(len(owner)) - first
         most = np.where(toxic[owner] == 1, 1 if turn else TOXIC_WINDOWS, CLEAN_WINDOWS)
         chosen = by_doc[place < most]
-        model.fit(chosen, toxic[bags.doc[chosen]], steps)
+        decisive = chosen[toxic[bags.doc[chosen]] == 1]
+        if turn > 1 and np.mean(decisive == before) >= settled:
+            break
+        before = decisive
+        model.fit(chosen, toxic[bags.doc[chosen]], steps if turn else first_steps)
     return ToxicityModel(model.values(), float(model.constant[1] - model.constant[0]))
 
 

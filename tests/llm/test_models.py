@@ -11,7 +11,7 @@ import corpus_pipeline
 from spendlens.llm.learning import labelled_sample, logistic, sigmoid
 from spendlens.llm.near_duplicates import near_duplicates
 from spendlens.llm.quality import ArrayPool, StoredPool, Views, co_train, featured, fit_quality, good_documents, score_quality
-from spendlens.llm.toxicity import (WINDOW, Scorer, ToxicityModel, best_cut, core, fit_toxicity, grams, harmless_documents,
+from spendlens.llm.toxicity import Scorer, fit_toxicity, harmless_documents, score_toxicity, train
                                     score_toxicity, train, window_starts)
 
 DOCS = "label string, doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -204,3 +204,14 @@ def test_toxicity_ignores_held_out_labels(spark, monkeypatch):
         mine = [(i, q, 1 if changed and apart(i) else t) for i, q, t in labels] + [(None, 1, 1)] * (500 if changed else 0)
         fit_toxicity(docs, spark.createDataFrame(mine, "doc_id long, quality int, toxic int"))
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("seed", [0, 2, 4])
+def test_toxicity_does_not_hang_on_the_seed(seed):
+    rows, labels = corpus()
+    toxic = {i: t for i, _, t in labels}
+    learnt = [r for r in rows if not apart(r[1]) and r[2].strip()]
+    scorer = Scorer(train([r[2] for r in learnt], np.array([toxic[r[1]] for r in learnt]), seed=seed))
+    held = [r for r in rows if apart(r[1])]
+    margins, labels = np.array([m for m, _ in scorer.logits([r[2] for r in held])]), np.array([toxic[r[1]] for r in held])
+    assert max(np.mean((margins >= cut) == labels) for cut in margins) >= 0.95
