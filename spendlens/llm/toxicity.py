@@ -218,14 +218,15 @@ class SoftmaxOverBags:
                 parameter[rows] -= (rate * step).astype(parameter.dtype)
 
 
-def train(texts: list[str], toxic: np.ndarray, first_steps: int = 40, steps: int = 15, rounds: int = 12, settled: float = 0.99,
+def train(texts: list[str], toxic: np.ndarray, first_steps: int = 40, steps: int = 15, rounds: int = 5, settled: float = 0.99,
           seed: int = 3) -> ToxicityModel:
     """Train on windows of texts (none without words) whose labels hold for the whole text.
 
     The first round takes windows of each text at random. Later ones take, by the model so far,
     the most toxic window of each toxic text, where the cause of its label is most likely, and the
     most toxic windows of each clean text, which must not decide for toxic. Rounds end when the
-    share ``settled`` of the toxic texts keep their window, so what is learnt hangs less on the first draw.
+    share ``settled`` of the toxic texts keep their window, or after ``rounds``; a long first round makes
+    what is learnt hang less on the first draw.
     """
     bags = Bags(texts)
     model = SoftmaxOverBags(bags, seed)
