@@ -148,3 +148,40 @@ def read_bulk_export(spark: SparkSession, sf: str) -> DataFrame:
     model.campaigns(spark, sf).select(name.alias("campaign"), client.alias("Account Name"), F.col("clicks").cast("long").alias("clicks")).write.option(
         "header", True).csv(home)
     return exports.read_bulk(spark, home).select("client", "campaign", "clicks")
+
+
+ENCODINGS = ("UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE")
+
+
+@query("read_encoded_exports", f"""
+SELECT client_id % 4 AS kind, CASE client_id % 4 WHEN 0 THEN 'અ é ' WHEN 1 THEN 'é ' ELSE 'ઊ é ' END || campaign_name AS campaign,
+  CAST(CAST(clicks AS BIGINT) AS VARCHAR) AS clicks,
+  CASE client_id % 4 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENCODINGS))} END AS encoding FROM campaigns""")
+def read_encoded_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports in four encodings in one folder; nothing but their bytes tells which file has which."""
+    home = _inbox(spark)
+    start = F.element_at(F.array(*[F.lit(t) for t in ("અ é ", "é ", "ઊ é ", "ઊ é ")]), F.col("kind") + 1)
+    rows = model.campaigns(spark, sf).select((F.col("client_id") % 4).cast("int").alias("kind"), "campaign_name", F.col("clicks").cast("long").alias("clicks"))
+    for kind, encoding in enumerate(ENCODINGS):
+        rows.where(F.col("kind") == kind).select(F.concat(start, "campaign_name").alias("campaign"), "clicks", F.lit(kind).alias("kind")).write.option(
+            "header", True).option("encoding", encoding).csv(f"{home}/{kind}")
+    read = exports.read_ads_csv(spark, home)
+    files = exports.file_encodings(spark, home)
+    return read.join(files, exports.FILE).select(F.col("kind").cast("long").alias("kind"), "campaign", "clicks", "encoding")
+
+
+CLIENT_COLUMNS = ("Account Name", "Advertiser", "Customer", "Team")
+
+
+@query("read_bulk_by_file", f"""
+SELECT CASE WHEN client_id % 4 <> 3 THEN 'client ' || client_id END AS client, CASE WHEN client_id % 4 = 3 THEN 'client ' || client_id END AS team,
+  {MARKED} AS campaign, CAST(CAST(clicks AS BIGINT) AS VARCHAR) AS clicks FROM campaigns""")
+def read_bulk_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk exports that name the client in different columns, and one kind that does not name it."""
+    home = _inbox(spark)
+    name = F.concat(F.when(F.col("upload_id") % 3 == 0, "#").otherwise(""), "campaign_name")
+    rows = model.campaigns(spark, sf)
+    for kind, column in enumerate(CLIENT_COLUMNS):
+        cells = [F.concat(F.lit("client "), F.col("client_id")).alias(column), name.alias("campaign"), F.col("clicks").cast("long").alias("clicks")]
+        rows.where(F.col("client_id") % 4 == kind).select(*cells[kind % 3:], *cells[:kind % 3]).write.option("header", True).csv(f"{home}/{kind}")
+    return exports.read_bulk(spark, home).select("client", F.col("Team").alias("team"), "campaign", "clicks")
