@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm.shared import named, stored, table
-from spendlens.llm.vector_blocks import best_of_blocks, in_blocks, matrix, usable
+from spendlens.llm.vector_blocks import best_of_blocks, excluded, in_blocks, marked, matrix, pairs_table, usable
 
-CODED = "vec_id long, vector array<double>, bits binary, spread double, aligned double"
-FOUND = "query_id long, vec_id long, score double"
+CODED = "vec_id long, vector array<double>, mark string, copies long, bits binary, spread double, aligned double"
+FOUND = "query_id long, query_mark string, vec_id long, mark string, score double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def coded(vectors: DataFrame, middle: dict[int, np.ndarray], seed: int) -> DataFrame:
-    """Every row of ``vectors`` (``vec_id``, ``vector``) with its packed bits and scalars."""
+    """Every row of ``vectors`` (as ``marked``) with its packed bits and scalars."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,11 +68,11 @@ def coded(vectors: DataFrame, middle: dict[int, np.ndarray], seed: int) -> DataF
                 bits.append(np.packbits(turned > 0).tobytes())
                 spread.append(length)
                 aligned.append(float(np.abs(turned).sum() / np.sqrt(dim)))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(bits, pa.binary()),
-                                              pa.array(spread), pa.array(aligned)],
-                                             ["vec_id", "vector", "bits", "spread", "aligned"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bits, pa.binary()), pa.array(spread), pa.array(aligned)],
+                                             [*kept, "bits", "spread", "aligned"])
 
-    return vectors.select("vec_id", "vector").mapInArrow(encode, CODED)
+    kept = ["vec_id", "vector", "mark", "copies"]
+    return vectors.select(*kept).mapInArrow(encode, CODED)
 
 
 _ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
@@ -84,9 +84,10 @@ def rotation_of(dim: int, seed: int) -> np.ndarray:
     return _ROTATIONS[dim, seed]
 
 
-def reranked(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, bits: list[bytes],
-             spread: np.ndarray, aligned: np.ndarray, middle: np.ndarray, k: int, sure: float, seed: int) -> pa.Table:
+def reranked(left: pa.Table, right: pa.Table, middle: np.ndarray, k: int, sure: float, seed: int) -> pa.Table:
     """The ``k`` best of a block for each query: bounds from codes, exact scores for what they leave."""
+    queries, query_ids, points, ids = matrix(left["vector"]), left["vec_id"].to_numpy(), matrix(right["vector"]), right["vec_id"].to_numpy()
+    copies, bits, spread, aligned = right["copies"].to_numpy(), right["bits"].to_pylist(), right["spread"].to_numpy(), right["aligned"].to_numpy()
     dim = points.shape[1]
     signs = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1), axis=1, count=dim) * 2.0 - 1.0
     good = np.where(aligned > 0, aligned, 1.0)
@@ -97,17 +98,16 @@ def reranked(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids
         part = queries[first:first + 512]
         guess = (part @ rotation_of(dim, seed)) @ signs.T / np.sqrt(dim) * scale + (part @ middle)[:, None]
         error = np.linalg.norm(part, axis=1)[:, None] * slack
-        own = query_ids[first:first + 512][:, None] == ids[None, :]
+        own = excluded(query_ids[first:first + 512], part, ids, points, copies)
         low, high = np.where(own, -np.inf, guess - error), np.where(own, -np.inf, guess + error)
         worst = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
         for row in range(len(part)):
             at = np.flatnonzero((high[row] >= worst[row]) & ~own[row])
             scores = np.einsum("ij,j->i", points[at], part[row])
             order = np.lexsort((ids[at], -scores))[:k]
-            out.append((np.full(len(order), query_ids[first + row]), ids[at][order], scores[order]))
+            out.append((np.full(len(order), first + row), at[order], scores[order]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
-    return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
-                     "score": pa.array(columns[2], pa.float64())})
+    return pairs_table(left, right, columns[0], columns[1], pa.array(columns[2], pa.float64()))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, sure: float = 3.0, seed: int = 11,
@@ -115,21 +115,20 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, sure: float = 3.0
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` largest inner products found.
 
     ``sure`` is the number of deviations the error bound spans. Vectors meet those of their own
-    dimension; a candidate with the query's id is the query itself. Every candidate is coded, and
-    a block passes on its ``k`` best after exact scoring. Equal scores go to smaller ids.
+    dimension. Of a query only its own row is left out: others of its id are candidates, and
+    rows may have ``copies`` that take ranks of their own. Every candidate is coded, and a block
+    passes on its ``k`` best after exact scoring. Equal scores go to smaller ids.
     """
+    queries, candidates = stored(marked(queries)), stored(marked(candidates))
     middle = centers(candidates)
     index = stored(coded(candidates, middle, seed))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        points = matrix(right["vector"])
-        return reranked(matrix(left["vector"]), left["vec_id"].to_numpy(), points, right["vec_id"].to_numpy(),
-                        right["bits"].to_pylist(), right["spread"].to_numpy(), right["aligned"].to_numpy(),
-                        middle[points.shape[1]], k, sure, seed)
+            return pairs_table(left, right, np.empty(0, int), np.empty(0, int), pa.array([], pa.float64()))
+        return reranked(left, right, middle[len(right["vector"][0])], k, sure, seed)
 
-    return best_of_blocks(in_blocks(queries, index, ["bits", "spread", "aligned"], query_block, block, search, FOUND), k)
+    return best_of_blocks(in_blocks(queries, index, ["bits", "spread", "aligned"], query_block, block, search, FOUND), queries, candidates, k)
 
 
 @named("op10_bit_codes")

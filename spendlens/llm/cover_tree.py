@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.shared import named, table
-from spendlens.llm.vector_blocks import best_of_blocks, in_blocks, matrix, usable
+from spendlens.llm.shared import named, stored, table
+from spendlens.llm.vector_blocks import best_of_blocks, excluded, in_blocks, marked, matrix, pairs_table, usable
 
 #: Points of a leaf at most (unless they coincide), and points that are scored at once at least.
 LEAF, BATCH = 128, 512
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_mark string, vec_id long, mark string, score long"
 
 
 class Node:
@@ -79,16 +79,21 @@ class CoverTree:
 
 
 class DualSearch:
-    """Highest inner products of every query row among the candidate rows, ties to smaller ids."""
+    """Highest inner products of every query row among the candidate rows, ties to smaller ids.
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> None:
+    A candidate with the query's id and vector is the query itself, unless it has ``copies``.
+    """
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int,
+                 copies: np.ndarray | None = None) -> None:
         wide = np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) * queries.shape[1] >= 2.0**53
         left, right = CoverTree(queries), CoverTree(points)
         # sums of products below 2**53 are exact in doubles, others are done in whole numbers
         exact = (lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)) if wide else (lambda m: m)
         self.queries, self.query_ids = exact(queries[left.order]), query_ids[left.order]
         self.points, self.ids = exact(points[right.order]), ids[right.order]
-        self.k = k
+        self.copies = np.ones(len(ids), dtype=np.int64) if copies is None else copies[right.order]
+        self.query_order, self.order, self.k = left.order, right.order, k
         self.scores = np.full((len(queries), k), -np.inf, dtype=object if wide else np.float64)
         self.best = np.full((len(queries), k), -1, dtype=np.int64)
         if len(queries) and len(points):
@@ -139,51 +144,55 @@ class DualSearch:
             columns = places[start:start + 2 * BATCH]
             rows = np.arange(query.first, query.last)
             got = self.queries[rows] @ self.points[columns].T
-            got = np.where(self.query_ids[rows][:, None] == self.ids[columns][None, :], -np.inf, got)
+            own = excluded(self.query_ids[rows], self.queries[rows], self.ids[columns], self.points[columns], self.copies[columns])
+            got = np.where(own, -np.inf, got)
             better = (got >= self.scores[rows, -1:]).any(axis=1)
             if better.any():
                 rows, got = rows[better], got[better]
                 self._keep_best(rows, np.concatenate([self.scores[rows], got], axis=1),
-                                np.concatenate([self.best[rows], np.broadcast_to(self.ids[columns], got.shape)], axis=1))
+                                np.concatenate([self.best[rows], np.broadcast_to(columns, got.shape)], axis=1))
 
-    def _keep_best(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def _keep_best(self, rows: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
         if scores.dtype == object:
-            order = [sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:self.k] for s, i in zip(scores, ids)]
-            self.scores[rows], self.best[rows] = np.take_along_axis(scores, np.array(order), 1), np.take_along_axis(ids, np.array(order), 1)
+            order = np.array([sorted(range(len(s)), key=lambda j: (-s[j], self.ids[p[j]]))[:self.k] for s, p in zip(scores, places)])
+            self.scores[rows], self.best[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
             return
         least = np.partition(scores, -self.k, axis=1)[:, -self.k]
         row, column = np.nonzero(scores >= least[:, None])  # the best and all that tie with the last of them
-        score, at = scores[row, column], ids[row, column]
-        order = np.lexsort((at, -score, row))
+        score, at = scores[row, column], places[row, column]
+        order = np.lexsort((self.ids[at], -score, row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         kept = place < self.k
         self.scores[rows[row[kept]], place[kept]] = score[order][kept]
         self.best[rows[row[kept]], place[kept]] = at[order][kept]
 
-    def table(self) -> pa.Table:
-        real = self.scores > -np.inf
-        counts = real.sum(axis=1).astype(np.int64)
-        return pa.table({"query_id": pa.array(np.repeat(self.query_ids, counts), pa.int64()),
-                         "vec_id": pa.array(self.best[real.astype(bool)], pa.int64()),
-                         "score": pa.array([max(-2**63, min(2**63 - 1, int(s))) for s in self.scores[real.astype(bool)]], pa.int64())})
+    def found(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Rows of ``queries`` and of ``points`` with their scores, best first for each query."""
+        real = (self.scores > -np.inf).astype(bool)
+        at = np.repeat(self.query_order, real.sum(axis=1).astype(np.int64))
+        return at, self.order[self.best[real]], pa.array([max(-2**63, min(2**63 - 1, int(s))) for s in self.scores[real]], pa.int64())
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 1024, block: int = 8192) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` highest integer inner products.
 
-    Both inputs have ``vec_id`` and ``vector`` (whole numbers as doubles); vectors meet only those
-    of their own dimension. A candidate with the query's id is the query itself and left out.
-    Equal scores go to smaller ids; with fewer candidates all are returned. Scores that no 64-bit
-    number holds are ranked exactly and reported as the nearest one that does.
+    Both inputs have ``vec_id``, ``vector`` (whole numbers as doubles) and may have ``copies``, the
+    rows they stand for; vectors meet only those of their own dimension. Of a query only its own
+    row is left out: others of its id are candidates, and copies take ranks of their own. Equal
+    scores go to smaller ids; with fewer candidates all are returned. Scores that no 64-bit number
+    holds are ranked exactly and reported as the nearest one that does.
     """
+    queries, candidates = stored(marked(queries)), stored(marked(candidates))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        return DualSearch(matrix(left["vector"]), left["vec_id"].to_numpy(), matrix(right["vector"]), right["vec_id"].to_numpy(), k).table()
+            return pairs_table(left, right, np.empty(0, int), np.empty(0, int), pa.array([], pa.int64()))
+        dual = DualSearch(matrix(left["vector"]), left["vec_id"].to_numpy(), matrix(right["vector"]), right["vec_id"].to_numpy(), k,
+                          right["copies"].to_numpy())
+        return pairs_table(left, right, *dual.found())
 
-    return best_of_blocks(in_blocks(queries, candidates, [], query_block, block, search, FOUND), k)
+    return best_of_blocks(in_blocks(queries, candidates, [], query_block, block, search, FOUND), queries, candidates, k)
 
 
 OP9_SQL = """
@@ -201,7 +210,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 @named("op9_cover_tree", OP9_SQL)
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 highest integer inner products of every twentieth vector among all others."""
+    """The 20 highest integer inner products of every twentieth vector among all others.
+
+    Components beyond 2**57, whose 64-fold no 64-bit number holds, count as the nearest one that does.
+    """
     whole = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(
-        "vec_id", F.transform("vector", lambda x: F.floor(x * 64).cast("double")).alias("vector"))
+        "vec_id", "copies", F.transform("vector", lambda x: F.floor(x * 64).cast("double")).alias("vector"))
     return exact_top_k(whole.where(F.col("vec_id") % 20 == 0), whole, 20)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,8 @@ def test_dual_search_is_exact(kind):
         points = points[:120] * 2.0**24
     ids = rng.permutation(len(points))
     some = ids % 7 == 0
-    got = DualSearch(points[some], ids[some], points, ids, 9).table().to_pandas()
+    at, other, scores = DualSearch(points[some], ids[some], points, ids, 9).found()
+    got = pd.DataFrame({"query_id": ids[some][at], "vec_id": ids[other], "score": scores.to_pylist()})
     if kind == "huge":
         whole = [[int(x) for x in p] for p in points]
         want = {int(i): [(n + 1, j, -s) for n, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(q, p)), int(j)) for p, j in zip(whole, ids) if j != i)[:9])]
@@ -119,7 +121,8 @@ def test_vector_searches(spark):
     want = plain_top(floors[ids % 20 == 0], ids[ids % 20 == 0], floors, ids, 20)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((q, n, j, int(s)) for q, v in want.items() for n, j, s in v)
 
-    nonzero = usable(vectors, "vec_id", "embedding", nonzero=True)
+    # rows 0 to 2 come twice: once as one row each here, with their copies below
+    nonzero = usable(vectors, "vec_id", "embedding", nonzero=True).drop("copies")
     found = nearest(nonzero.where("vec_id % 20 = 0"), nonzero, 20, query_block=8, block=100).collect()
     ids = np.array([i for i in sorted(good) if good[i].any()])
     points = np.array([good[i] for i in ids])
@@ -130,11 +133,28 @@ def test_vector_searches(spark):
         assert r["score"] == pytest.approx(float(np.dot(good[r["query_id"]], good[r["vec_id"]])), abs=1e-12)
     few = vectors.where("vec_id in (0, 1, 20)")
     small = usable(few, "vec_id", "embedding")
-    assert nearest(small.where("vec_id % 20 = 0"), small, 20).count() == 4 == exact_top_k(small.where("vec_id % 20 = 0"), small, 20).count()
+    # three query rows (0 twice, 20), each with the four other rows
+    assert nearest(small.where("vec_id % 20 = 0"), small, 20).count() == 12 == exact_top_k(small.where("vec_id % 20 = 0"), small, 20).count()
     empty = usable(vectors.limit(0), "vec_id", "embedding")
     assert nearest(empty, empty, 20).count() == 0 and exact_top_k(empty, empty, 20).count() == 0
 
 
+def test_rows_of_one_id_are_rows(spark):
+    """Repeated ids, with equal and with other vectors, against a plain search over rows."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6)]) for i in rng.integers(0, 12, 60)]
+    rows += [(0, [3.0] * 6)] * 40 + [(20, [-0.0] * 6), (20, [0.0] * 6)] + [(7, rows[3][1])] * 3
+    whole = usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id", "embedding")
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 4 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(rows) if c != q)
+            want += [(i, n + 1, j, int(-s)) for n, (s, j) in enumerate(scores[:9])]
+    for search in (exact_top_k, nearest):
+        got = search(whole.where("vec_id % 4 = 0"), whole, 9, query_block=5, block=11).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], int(r["score"])) for r in got) == sorted(want)
+
+
 def plain_groups(rows, words):
     sets = []
     for _, text in rows:
