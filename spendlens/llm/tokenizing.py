@@ -2,7 +2,7 @@
 
 A text is cut where its tokenizer's pre-tokenization is certain to cut as well (see
 ``spaced_chunks``), so encoding chunk by chunk equals encoding the text. Every distinct chunk is
-encoded once by the library and remembered, up to a bound; most of a corpus repeats. Special strings
+encoded once by the library and remembered, up to a bound, words apart from the signs behind them. Special strings
 of the file are cut out first, as the library does, so what stands before them ends there.
 """
 
@@ -13,8 +13,11 @@ import json
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as Unicode defines it (fixed values).
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -22,6 +25,9 @@ _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _TWO_WHITE = re.compile(r"\s\s")
 #: ASCII signs that form one piece when they follow letters; the apostrophe starts contractions.
 _SIGNS = '.,!?;:%&*$#()[]{}"/\\|+-=@<>~^_`'
+#: Letters that neither compose with others nor change their number in lower case.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_WORD_AND_SIGNS = "^ ?[" + _LETTERS + "]+[" + re.escape(_SIGNS) + "]*$"
 CHUNK_LIMIT = 1_000_000
 
 
@@ -74,36 +80,87 @@ class ChunkEncoder:
 
     def cut(self, text: str) -> list:
         """Chunks of a text: bytes between white space for words with ends, else strings that keep their blank."""
-        if self.special and (self.whole or not self.word_ends) and any(t in text for t in self.special):
+        if self._special_inside(text):
             if self.whole:
                 return [text.encode() if self.word_ends else text]
             parts = self.special_cut.split(text)
             return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else spaced_chunks(part))]
         return word_chunks(text) if self.word_ends else spaced_chunks(text)
 
+    def _special_inside(self, text: str) -> bool:
+        return bool(self.special) and (self.whole or not self.word_ends) and any(t in text for t in self.special)
+
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        """Chunks of texts without special strings and, unless words have ends, without zero bytes; empty ones may occur."""
+        if self.word_ends:
+            return pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        marked = ["\0".join(_COARSE.findall(t)) if _TWO_WHITE.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts]
+        return pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text; null texts count as empty.
 
-        Memory has two generations of ``limit // 2`` chunks: when the younger is full it becomes the
-        older one, from which chunks that are met again come back.
+        Chunks are told apart and numbered by Arrow, so Python sees each distinct one of a call once. Memory
+        has two generations of ``limit // 2`` chunks: when the younger is full it becomes the older one, from
+        which chunks that are met again come back.
         """
-        cut = [self.cut(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        fresh = wanted - self.known.keys()
-        if len(self.known) + len(fresh) > self.limit // 2:
-            self.older, self.known = self.known, {}
-            fresh = wanted
-        fresh = self._not_recalled(fresh)
-        if fresh:
-            collecting = gc.isenabled()
-            gc.disable()  # many small objects, none in a cycle
-            try:
-                self._learn(list(fresh))
-            finally:
-                if collecting:
-                    gc.enable()
+        rows = [t or "" for t in texts]
+        alone = [i for i, t in enumerate(rows) if self._special_inside(t) or not self.word_ends and "\0" in t]
+        parts = {i: self.cut(rows[i]) for i in alone}
+        split = self._split(["" if i in parts else t for i, t in enumerate(rows)] if parts else rows)
+        numbered = split.flatten().dictionary_encode()
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, none in a cycle
+        try:
+            odd, words, pair = self._atoms(numbered.dictionary)
+            self._remember(set(words), set(odd).union(*parts.values()))
+            coded = list(map(self.known.__getitem__, chain(odd, words)))
+        finally:
+            if collecting:
+                gc.enable()
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        at = pair[numbered.indices.to_numpy()].ravel()
+        ends = np.append(0, np.cumsum(sizes[at]))
+        # place in flat of every id: where its word or signs begin there, and how far into them it is
+        ids = flat[np.repeat(first[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+        bounds = ends[2 * split.offsets.to_numpy().astype(np.int64)]
         get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        return [b"".join(map(get, parts[i])) if i in parts else ids[a:b].tobytes()
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
+
+    def _atoms(self, chunks: pa.Array) -> tuple[list, list, np.ndarray]:
+        """Odd chunks, words and signs, and for every chunk the numbers of its two parts in the lists one after another.
+
+        A chunk of letters with signs behind them has the ids of the word, then those of the signs; any other is odd.
+        """
+        simple = pc.match_substring_regex(chunks, _WORD_AND_SIGNS)
+        if self.special:
+            simple = pc.and_not(simple, pc.is_in(chunks, pa.array(sorted(self.special), chunks.type)))
+        easy = chunks.filter(simple)
+        core = pc.ascii_rtrim(easy, _SIGNS)
+        core = (pc.ascii_lower(core) if self.word_ends else core).dictionary_encode()
+        signs = pc.utf8_ltrim(easy, " " + _LETTERS).dictionary_encode()
+
+        def listed(strings: pa.Array) -> list:
+            return (strings.cast(pa.large_binary()) if self.word_ends else strings).to_pylist()
+
+        odd = [b"" if self.word_ends else "", *listed(chunks.filter(pc.invert(simple)))]
+        words = listed(core.dictionary) + listed(signs.dictionary)
+        mask = simple.to_numpy(zero_copy_only=False)
+        pair = np.zeros((len(chunks), 2), np.int64)  # number 0 is empty
+        pair[~mask, 0] = np.arange(1, len(odd))
+        pair[mask, 0] = core.indices.to_numpy() + len(odd)
+        pair[mask, 1] = signs.indices.to_numpy() + (len(odd) + len(core.dictionary))
+        return odd, words, pair
+
+    def _remember(self, words: set, odd: set) -> None:
+        """See to it that memory holds these words and signs, and these chunks of any kind."""
+        if len(self.known) + len(words - self.known.keys()) + len(odd - self.known.keys()) > self.limit // 2:
+            self.older, self.known = self.known, {}
+        words, odd = (self._not_recalled(w - self.known.keys()) for w in (words, odd))
+        if words or odd:
+            self._learn(words, list(odd))
 
     def _not_recalled(self, fresh: set) -> set:
         """Chunks that the older generation does not hold either; those it holds come back."""
@@ -113,8 +170,8 @@ class ChunkEncoder:
             return fresh - again
         return fresh
 
-    def _learn(self, chunks: list) -> None:
-        """Plain words are learnt together; those with signs behind them as word and signs; anything else alone."""
+    def _learn(self, parts: set, chunks: list) -> None:
+        """Plain words are learnt together; chunks with signs behind a word as word and signs; anything else alone."""
         known, mixed = self.known, []
         if self.word_ends:
             plain = [c for c in chunks if c.isalpha()]  # of bytes: ASCII letters only
@@ -138,7 +195,7 @@ class ChunkEncoder:
                 mixed.append((chunk, core, signs))
             else:
                 odd.append(chunk)
-        needed = words.union((core for _, core, _ in mixed), (signs for _, _, signs in mixed))
+        needed = words.union(parts, (core for _, core, _ in mixed), (signs for _, _, signs in mixed))
         needed = self._not_recalled(needed - known.keys())
         self._learn_joined([p for p in needed if self._joins(p)])
         self._learn_alone([p for p in needed if p not in known])
