@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.operators.history import chunked_rank
+from spendlens.operators.paging import numbered
 
 
 def name_key(name: Column | str) -> Column:
@@ -103,9 +103,10 @@ def resolve_clients(bulk_names: DataFrame, clients: DataFrame) -> DataFrame:
     ids = known.groupBy("known_key").agg(F.min("client_id").alias("client_id"))
     resolved = wanted.join(matched, ["pool", "bulk_key"], "left").join(ids, "known_key", "left")
     fresh = resolved.where(F.col("client_id").isNull()).select("pool", "bulk_key").distinct()
-    numbered = chunked_rank(fresh, ["pool"], F.substring("bulk_key", 1, 2), ["bulk_key"], "new_number")
+    # numbered by ranges of the names, so names that begin alike are spread too
+    placed = numbered(fresh, ["bulk_key"], "new_number")
     top = clients.groupBy(one).agg(F.max("client_id").alias("top_id"))
-    created = numbered.join(top, "pool").select("bulk_key", (F.col("top_id") + F.col("new_number")).alias("new_id"))
+    created = placed.join(top, "pool").select("bulk_key", (F.col("top_id") + F.col("new_number") + 1).alias("new_id"))
     return resolved.join(created, "bulk_key", "left").select(
         "bulk_name", F.coalesce("client_id", "new_id").alias("client_id"), F.col("new_id").isNotNull().alias("is_new")
     )

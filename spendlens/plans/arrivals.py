@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.plans.registry import query
+from spendlens.plans.signals import ALERTS
 from spendlens.session import shared_folder
 from spendlens.sources import exports, model
 from spendlens.streaming import arrivals, rolling, state
@@ -102,6 +103,31 @@ def streamed_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{home}/out")
 
 
+@query("streamed_checks", f"""
+WITH {ALERTS} SELECT client_id, upload_id, campaign, platform, alert_type, severity, deviation_pct FROM kpi_alerts""")
+def streamed_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of every upload, raised as the uploads arrive: two streams of facts, each against what is stored by then."""
+    home = f"{shared_folder(spark)}/checks/{uuid.uuid4().hex}"
+    clients, rules = model.clients(spark, sf), model.budget_rules(spark, sf)
+    facts = model.campaigns(spark, sf).withColumn("period_start", F.col("period_date"))
+    facts.write.parquet(f"{home}/facts")
+    arrived = spark.read.parquet(f"{home}/facts")
+    middle = arrived.groupBy("client_id").agg(F.percentile_approx(F.unix_date("period_date"), 0.5).alias("middle"))
+    halves = arrived.join(middle, "client_id").withColumn("later", F.coalesce(F.unix_date("period_date") > F.col("middle"), F.lit(False)))
+    check = arrivals.checks_pipeline(f"{home}/tables", clients, rules)
+
+    def store_and_check(batch: DataFrame, batch_id: int) -> None:
+        arrivals.write_batch(batch, f"{home}/tables", "campaigns", batch_id, by="client_id")
+        check(batch, batch_id)
+
+    for later in (False, True):
+        halves.where(F.col("later") == later).drop("later", "middle").write.mode("append").parquet(f"{home}/inbox")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{home}/inbox")
+        arrivals.run_available(stream, store_and_check, f"{home}/checkpoint")
+    return arrivals.stored_table(spark, f"{home}/tables", "kpi_alerts").select(
+        "client_id", "upload_id", "campaign", "platform", "alert_type", "severity", "deviation_pct")
+
+
 def _inbox(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/inbox/{uuid.uuid4().hex}"
 

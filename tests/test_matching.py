@@ -51,3 +51,11 @@ def test_exact_medians_with_one_dominant_group(spark):
 
     assert got["a"] == 2.5 and got["b"] == 2.5 and "c" not in got
     assert got["hot"] == median([v for k, v in rows if k == "hot"])
+
+
+def test_new_clients_that_begin_alike_are_numbered_in_order(spark):
+    names = [(f"Client {i:03d}",) for i in range(300)] + [("Known",), ("client 005",)]
+    clients = spark.createDataFrame([(7, "known")], "client_id long, client_name string")
+    got = {r["bulk_name"]: r["client_id"] for r in matching.resolve_clients(spark.createDataFrame(names, "client_name string"), clients).collect()}
+    assert got.pop("Known") == 7 and got.pop("client 005") == got["Client 005"]
+    assert [got[f"Client {i:03d}"] for i in range(300)] == list(range(8, 308))

@@ -9,7 +9,8 @@ from tools.check_results import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["platform_summary", "dashboard_kpis", "roas_trend", "kpi_alerts", "anomalies", "account_forecast", "audit_checks",
           "reallocation_targets", "client_benchmarks", "action_impact", "funnel_reconciliation", "traffic_by_campaign",
-          "rollup_adgroups", "report_sections", "detected_sources", "read_web_export", "read_encoded_exports", "read_bulk_by_file", "streamed_comparison"]
+          "rollup_adgroups", "report_sections", "detected_sources", "read_web_export", "read_encoded_exports", "read_bulk_by_file", "streamed_comparison", "streamed_checks",
+          "resolved_clients"]
 
 
 @pytest.fixture(scope="module")
