@@ -26,7 +26,7 @@ def numeric_cell(value: Column | str) -> Column:
     """Cleaned ``value`` of a cell and whether it ``changed``, i.e. was not the plain number already.
 
     Null words hold no number and end at 0 like any other junk. Each step of the way is evaluated
-    once: a plain number is taken as it is, then the stripped text, then its shorthand.
+    once: a plain number is taken as it is, in generated code, then the stripped text, then its shorthand.
     """
     factors = F.create_map(*[F.lit(x) for pair in fx.SHORTHAND_FACTORS.items() for x in pair])
 
@@ -38,12 +38,9 @@ def numeric_cell(value: Column | str) -> Column:
     def decorated(text: Column) -> Column:
         return evaluated_once(F.translate(text, DECORATION, ""), lambda t: F.coalesce(_number(t), short(t), F.lit(0.0)))
 
-    def cell(text: Column, plain: Column) -> Column:
-        same = plain.isNotNull()
-        return F.struct(F.when(same, plain).otherwise(decorated(text)).alias("value"), (~same).alias("changed"))
-
     text = col(value).cast("string")
-    return evaluated_once(F.struct(text.alias("text"), _number(F.trim(text)).alias("plain")), lambda c: cell(c["text"], c["plain"]))
+    plain = _number(F.trim(text))
+    return F.struct(F.coalesce(plain, decorated(text)).alias("value"), plain.isNull().alias("changed"))
 
 
 def clean_web_numeric(value: Column | str) -> Column:

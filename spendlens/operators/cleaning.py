@@ -72,12 +72,13 @@ def normalize_dates(df: DataFrame, file: str, ordinal: str, as_of_year: int | No
     """Normalise every date-like column; each file's own day/month order applies, day first without one.
 
     An export repeats few dates in many rows: every distinct cell of a file is parsed once and joined back.
+    Parsed cells are stored, so Spark knows their size and joins few of them without a shuffle of the rows.
     """
     names = [c for c in date_columns(df.columns) if c not in (file, ordinal)]
     if not names:
         return df
     cells = date_cells(df, file, ordinal, names)
-    parsed = cells.select("file", "at", "cell", dates.normalize_date("cell", F.col("day_first"), as_of_year).alias("clean"))
+    parsed = stored(cells.select("file", "at", "cell", dates.normalize_date("cell", F.col("day_first"), as_of_year).alias("clean")))
     rows = df
     for at, name in enumerate(names):
         of_column = parsed.where(F.col("at") == at).select(*[F.col(c).alias(f"{c} {name}") for c in ("file", "cell", "clean")])

@@ -61,6 +61,16 @@ def test_cells_that_are_no_dates_stay(spark):
         ("2026-01-15", "2026-01-01", True), (None, "x", False), ("2026-01-16", None, True)]
 
 
+def test_rows_meet_their_parsed_dates_without_a_shuffle(spark):
+    day = F.date_format(F.date_add(F.lit("2018-01-01").cast("date"), (F.col("id") % 2500).cast("int")), "dd/MM/yyyy")
+    df = spark.range(5000).select(F.lit("f").alias("file"), F.col("id").alias("at"), day.alias("day"))
+    got = cleaning.normalize_dates(df, "file", "at")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert {(r["at"], r["day"]) for r in got.where("at < 2").collect()} == {(0, "2018-01-01"), (1, "2018-01-02")}
+    assert got.where("`changed day`").count() == 5000
+
+
 def test_exact_sums_keep_small_and_large_values(spark):
     df = spark.createDataFrame([(0.00004,)] * 5 + [(1.5e16,)], "x double")
     assert df.where("x < 1").agg(total("x")).first()[0] == 0.0002
