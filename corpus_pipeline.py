@@ -15,6 +15,10 @@ from spendlens.llm.shared import stored, table
 from spendlens.llm.toxicity import fit_toxicity, harmless_documents
 
 
+#: Chunks whose ids a worker of the packing stage remembers: workers stay for later stages, and so does what they hold.
+REMEMBERED = 250_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that co-training does not reject."""
     return good_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -34,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents, each with its place in a sequence of at most 1024 ids."""
     import public_tokenizers
 
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]

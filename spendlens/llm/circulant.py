@@ -26,7 +26,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
-    def __init__(self, words: int = 4, limit: int = 1_000_000) -> None:
+    def __init__(self, words: int = 4, limit: int = 250_000) -> None:
         self.words, self.limit = words, limit
         self.known: dict[bytes, int] = {}
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.circulant import CirculantMinHash, Shingler, band_keys, same_share
 from spendlens.llm.grouped import Union, block_pairs, components, streamed_groups
-from spendlens.llm.shared import named, stored, table
+from spendlens.llm.shared import in_parts, named, stored, table
 
 COORDINATES, ROWS = 112, 4
 #: Signatures that agree in fewer coordinates are not verified. At a similarity of 0.8 a pair is
@@ -45,7 +45,7 @@ def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of, signature_of = Shingler(words), CirculantMinHash(COORDINATES)
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, nodes, signatures, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingles_of(text)
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler(words)
-        for batch in batches:
+        for batch in in_parts(batches):
             kept = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = shingles_of(text).tobytes()

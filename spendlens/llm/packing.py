@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.bin_completion import Pattern, bin_completion
 from spendlens.llm.shared import named, new_folder, table
 from spendlens.llm.token_files import library_encoder
-from spendlens.llm.tokenizing import text_slices
+from spendlens.llm.tokenizing import CHUNK_LIMIT, batch_slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, number long"
 
@@ -42,10 +42,9 @@ def pieces(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], e
         part = TaskContext.get().partitionId()
         numbers: dict[int, int] = defaultdict(int)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in text_slices(texts):
+            for few in batch_slices(batch, 1):
                 rows: list[tuple] = []
-                for doc_id, coded in zip(doc_ids[first:last], encode(texts[first:last]), strict=True):
+                for doc_id, coded in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
                     coded += end
                     bounds = [0, *range(len(coded) % size or size, len(coded) + 1, size)] if coded else [0]
                     for k in range(len(bounds) - 1):
@@ -115,9 +114,9 @@ def pack(cut_up: DataFrame, capacity: int, nodes: int = 6_000) -> DataFrame:
     return numbered.mapInArrow(place, schema)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Pieces of all documents with checksum, sequence and offset."""
-    cut_up = pieces(docs, library_encoder(tokenizer), end_id, capacity)
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, remembered: int = CHUNK_LIMIT) -> DataFrame:
+    """Pieces of all documents with checksum, sequence and offset; a worker remembers the ids of up to ``remembered`` chunks."""
+    cut_up = pieces(docs, library_encoder(tokenizer, remembered), end_id, capacity)
     digests = cut_up.select("doc_id", "piece", "start", F.col("length"), F.crc32("ids").alias("ids_crc32"), "part", "number")
     return pack(digests, capacity).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
                                           "ids_crc32", "sequence_id", "offset")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from spendlens.llm.learning import held_out, keep_rows, labelled_sample, logistic, sigmoid
-from spendlens.llm.shared import named, stored, table
+from spendlens.llm.shared import in_parts, named, stored, table
 
 SHAPES = 192
 CONTENT = SHAPES + 8
@@ -262,7 +262,7 @@ def featured(docs: DataFrame, keep: list[str], text_col: str, packed: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = Views()
-        for batch in batches:
+        for batch in in_parts(batches):
             columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
             content = [views.content(t) for t in columns[0]]
             metadata = [views.metadata(*row) for row in zip(*columns, strict=True)]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.session import shared_folder, stored
@@ -13,7 +14,7 @@ Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
 SQL: dict[str, str] = {}
 
-__all__ = ["QUERIES", "SQL", "named", "new_folder", "opened", "stored", "table"]
+__all__ = ["QUERIES", "SQL", "in_parts", "named", "new_folder", "opened", "stored", "table"]
 
 
 def named(name: str, sql: str | None = None) -> Callable[[Job], Job]:
@@ -32,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that few texts are Python strings at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A folder of its own for one run below the shared folder of the cluster."""
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"

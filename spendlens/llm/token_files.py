@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.shared import named, new_folder, opened, stored, table
-from spendlens.llm.tokenizing import encoder, text_slices
+from spendlens.llm.tokenizing import CHUNK_LIMIT, encoder, text_slices
 
 BLOCK = 4096
 LANES = BLOCK // 32
@@ -252,8 +252,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
 
-def library_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    return lambda texts: encoder(path).encode(texts)
+def library_encoder(path: str, limit: int = CHUNK_LIMIT) -> Callable[[list[str | None]], list[bytes]]:
+    return lambda texts: encoder(path, limit).encode(texts)
 
 
 @named("op1_token_files")

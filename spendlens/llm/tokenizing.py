@@ -234,20 +234,31 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per file and Python worker."""
+def encoder(path: str, limit: int = CHUNK_LIMIT) -> ChunkEncoder:
+    """One encoder per file and Python worker, which remembers up to ``limit`` chunks from now on."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
 
 
-def text_slices(texts: list[str | None], chars: int = 4_000_000):
-    """Ranges of a batch that hold about ``chars`` characters each, so that few texts are cut up at once."""
+def _ranges(lengths: list[int], chars: int):
     start = size = 0
-    for at, text in enumerate(texts):
-        size += len(text or "")
+    for at, length in enumerate(lengths):
+        size += length
         if size >= chars:
             yield start, at + 1
             start, size = at + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def text_slices(texts: list[str | None], chars: int = 4_000_000):
+    """Ranges of a batch that hold about ``chars`` characters each, so that few texts are cut up at once."""
+    return _ranges([len(t or "") for t in texts], chars)
+
+
+def batch_slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000):
+    """Parts of a batch whose texts in ``column`` hold about ``chars`` characters each, so that few texts are Python strings at once."""
+    for first, last in _ranges(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist(), chars):
+        yield batch.slice(first, last - first)

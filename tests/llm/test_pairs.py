@@ -223,6 +223,14 @@ def test_signatures_estimate_similarity():
     assert len(shingles("a b c d a b c d")) == 4 and not len(shingles("  ")) and len(shingles("A b")) == 1
 
 
+def test_shingles_remember_a_bounded_number_of_words():
+    shingles = Shingler(4)
+    for k in range(4):
+        text = " ".join(f"w{i}" for i in range(100_000 * k, 100_000 * (k + 1)))
+        assert len(shingles(text)) == 100_000 - 3
+    assert len(shingles.known) <= 350_000  # the limit and one text
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "src long, dst long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}

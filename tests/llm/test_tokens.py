@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -19,7 +20,7 @@ from spendlens.llm.shared import opened
 from spendlens.llm.token_counts import count_pieces, pre_tokens, token_counts
 from spendlens.llm.token_files import (BLOCK, ShardReader, decode_blocks, encode_blocks, library_encoder, read_token_shards,
                                        write_token_shards)
-from spendlens.llm.tokenizing import ChunkEncoder
+from spendlens.llm.tokenizing import ChunkEncoder, batch_slices, encoder
 
 ALPHABET = " \n\t    abcXYZéßñΣİ'sdt123.,!<|endoftext|></s>́中文🙂\x1c\x85\0▁\xa0"
 SCHEMA = "text string, doc_id long, ids string, length string, start string"
@@ -157,6 +158,23 @@ def test_packing_of_nothing_and_of_no_tokens(spark, docs):
     assert pack(cut, 8).count() == 0
 
 
+def test_a_worker_remembers_no_more_chunks_than_it_is_told():
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    encode = library_encoder(path, 1000)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(20)) for _ in range(10)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder(path, 1000).known) + len(encoder(path, 1000).older) <= 1000
+
+
+def test_batches_are_cut_by_characters():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["ab", None, "中文é", "", "x"]})
+    assert [p.column(0).to_pylist() for p in batch_slices(batch, 1, 3)] == [[1, 2, 3], [4, 5]]
+    assert not list(batch_slices(batch.slice(0, 0), 1))
+
+
 def tiktoken_encoding():
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
