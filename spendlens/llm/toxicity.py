@@ -9,7 +9,6 @@ dilute an insult; which windows of a toxic document carry it is worked out while
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -60,6 +59,41 @@ def grams(word: str) -> list[int]:
             if n == GRAMS[0] or len(marked) >= n]
 
 
+#: Remainders of the checksum by byte.
+_CRC = np.array([crc32(bytes([x ^ 0xFF])) ^ 0xFF000000 for x in range(256)], dtype=np.uint32)
+
+
+def all_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of many words and the place of each one's word; a word's come in the order of ``grams``.
+
+    Checksums grow by a character at all places of all words at once.
+    """
+    raw = np.frombuffer("".join([f"<{w}>" for w in words if w]).encode(), np.uint8)
+    first = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters begin
+    size = np.diff(first, append=len(raw))
+    sizes = np.array([len(w) + 2 if w else 0 for w in words], dtype=np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(first))  # characters up to the end of the word
+    at, state = np.arange(len(first)), np.full(len(first), 0xFFFFFFFF, dtype=np.uint32)
+    flat, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def grown(state: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return _CRC[(state ^ raw[place]) & 0xFF] ^ (state >> 8)
+
+    for n in range(1, GRAMS[-1] + 1):
+        whole = left[at] >= n
+        at, state = at[whole], state[whole]
+        last = at + (n - 1)
+        state = grown(state, first[last])
+        for further in range(1, 4):
+            longer = np.flatnonzero(size[last] > further)
+            state[longer] = grown(state[longer], first[last[longer]] + further)
+        if n in GRAMS:
+            flat.append((~state & (BUCKETS - 1)).astype(np.int64))
+            owners.append(owner[at])
+    return np.concatenate(flat), np.concatenate(owners)
+
+
 def window_starts(n: int) -> np.ndarray:
     """First words of overlapping windows that cover ``n`` words."""
     return np.unique(np.append(np.arange(0, max(1, n - WINDOW + 1), STRIDE), max(0, n - WINDOW)))
@@ -90,11 +124,9 @@ class Scorer:
             self.known.clear()
         cores = {w: core(w) for w in words}
         distinct = list(set(cores.values()))
-        found = [grams(c) for c in distinct]
-        sizes = np.array([len(g) for g in found])
-        flat = np.array([g for gs in found for g in gs], dtype=np.int64)
-        owner = np.repeat(np.arange(len(found)), sizes)
-        total = np.bincount(owner, weights=self.model.values[flat], minlength=len(found)) if len(flat) else np.zeros(len(found))
+        flat, owner = all_grams(distinct)
+        sizes = np.bincount(owner, minlength=len(distinct))
+        total = np.bincount(owner, weights=self.model.values[flat], minlength=len(distinct))
         values = dict(zip(distinct, (total / np.maximum(sizes, 1)).tolist(), strict=True))
         self.known.update((w, values[c]) for w, c in cores.items())
 
@@ -141,14 +173,14 @@ class Bags:
         self.doc = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
         self.start = np.concatenate(starts) + begins[self.doc]
         self.stop = np.minimum(self.start + WINDOW, (begins + sizes)[self.doc])
-        flat_grams, gram_sizes = array("i"), array("i")
-        for word in vocabulary:
-            found = grams(word)
-            flat_grams.extend(found)
-            gram_sizes.append(len(found))
-        self.gram_sizes, flat = np.array(gram_sizes), np.array(flat_grams)
-        of_word = np.repeat(np.arange(len(gram_sizes), dtype=np.int32), self.gram_sizes)
-        seen_in = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(gram_sizes))
+        listed, parts, gram_sizes = list(vocabulary), [], []
+        for some in (listed[i:i + 20_000] for i in range(0, len(listed), 20_000)):
+            found, owner = all_grams(some)
+            parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+            gram_sizes.append(np.bincount(owner, minlength=len(some)).astype(np.int32))
+        self.gram_sizes, flat = np.concatenate(gram_sizes), np.concatenate(parts)
+        of_word = np.repeat(np.arange(len(listed), dtype=np.int32), self.gram_sizes)
+        seen_in = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(listed))
         common = np.bincount(flat, weights=seen_in[of_word], minlength=BUCKETS) >= COMMON
         keep = common[flat]  # what few documents have would only be learnt by heart
         self.flat, self.of_word = flat[keep], of_word[keep]

@@ -11,7 +11,8 @@ import corpus_pipeline
 from spendlens.llm.learning import labelled_sample, logistic, sigmoid
 from spendlens.llm.near_duplicates import near_duplicates
 from spendlens.llm.quality import ArrayPool, StoredPool, Views, co_train, featured, fit_quality, good_documents, score_quality
-from spendlens.llm.toxicity import (WINDOW, Scorer, ToxicityModel, best_cut, core, fit_toxicity, grams, harmless_documents,
+from spendlens.llm import toxicity
+from spendlens.llm.toxicity import (WINDOW, Scorer, ToxicityModel, all_grams, best_cut, core, fit_toxicity, grams, harmless_documents,
                                     score_toxicity, train, window_starts)
 
 DOCS = "label string, doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -92,6 +93,25 @@ def test_window_pieces():
     assert scorer.logits([None, "", "a b"]) == [(-1.0, 0)] * 3
 
 
+def test_scoring_takes_no_step_per_gram(monkeypatch):
+    """N-grams of all new words are hashed together, to the buckets that ``grams`` gives word by word."""
+    rng = random.Random(6)
+    words = ["", "a", "ab", "\U0010ffff"] + ["".join(rng.choice("abz0éßñΣ中文🙂\u0301\x7f\u07ff\u0800") for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    flat, owner = all_grams(words)
+    order = np.argsort(owner, kind="stable")
+    for word, got in zip(words, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]), strict=True):
+        assert got.tolist() == grams(word)
+    assert len(all_grams([])[0]) == len(all_grams([""])[0]) == 0
+    values = np.random.default_rng(6).normal(size=1 << 18).astype(np.float32)
+    want = {w: sum(values[g].astype(float) for g in grams(core(w))) / max(1, len(grams(core(w)))) for w in words if w}
+    calls = []
+    monkeypatch.setattr(toxicity, "crc32", lambda raw: calls.append(raw) or zlib.crc32(raw))
+    scorer = Scorer(ToxicityModel(values, -1.0))
+    scorer.logits(list(want))
+    assert not calls
+    assert all(abs(scorer.known[w] - v) < 1e-9 for w, v in want.items() if w in scorer.known) and len(scorer.known) > 2000
+
+
 def test_training_finds_the_words():
     rows, labels = corpus(400, 3)
     model = train([r[2] for r in rows], np.array([x[2] for x in labels]))
