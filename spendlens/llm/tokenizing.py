@@ -13,7 +13,7 @@ import json
 import os
 import re
 import unicodedata
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _TWO_WHITE = re.compile(r"\s\s")
+#: The same for Arrow, whose expressions know only ASCII white space by that name.
+_WHITE_TWICE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]{2}"
 #: ASCII signs that form one piece when they follow letters; the apostrophe starts contractions.
 _SIGNS = '.,!?;:%&*$#()[]{}"/\\|+-=@<>~^_`'
 #: Letters that neither compose with others nor change their number in lower case.
@@ -48,6 +50,13 @@ def word_chunks(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def _taken(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches ``at`` of ``flat``, which ``ends`` bounds, one after another, and their bounds."""
+    sizes = (ends[1:] - ends[:-1])[at]
+    bounds = np.append(0, np.cumsum(sizes))
+    return flat[np.repeat(ends[at] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
 class ChunkEncoder:
     """Ids of texts by a ``tokenizers`` file, as little-endian unsigned 32-bit bytes.
 
@@ -90,12 +99,28 @@ class ChunkEncoder:
     def _special_inside(self, text: str) -> bool:
         return bool(self.special) and (self.whole or not self.word_ends) and any(t in text for t in self.special)
 
-    def _split(self, texts: list[str]) -> pa.ListArray:
-        """Chunks of texts without special strings and, unless words have ends, without zero bytes; empty ones may occur."""
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of texts without special strings and, unless words have ends, without zero bytes; and where each text's chunks begin.
+
+        Chunks that keep their blank are cut out of the texts' own bytes, one after another. Empty ones may occur.
+        """
+        rows = pa.array(texts, pa.large_string())
         if self.word_ends:
-            return pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        marked = ["\0".join(_COARSE.findall(t)) if _TWO_WHITE.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts]
-        return pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+            split = pc.ascii_split_whitespace(rows)
+            return split.flatten(), split.offsets.to_numpy()
+        _, offsets, data = rows.buffers()
+        starts = np.frombuffer(offsets, np.int64)[:len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[:starts[-1]]
+        begins = np.zeros(len(raw) + 1, dtype=bool)
+        begins[:-1] = (raw == 32) | (raw == 10)
+        begins[1:] |= raw == 10
+        begins[starts] = True
+        for i in np.flatnonzero(pc.match_substring_regex(rows, _WHITE_TWICE).to_numpy(zero_copy_only=False)).tolist():
+            begins[starts[i] + 1:starts[i + 1]] = False
+            begins[starts[i] + np.cumsum([len(c.encode()) for c in _COARSE.findall(texts[i])])] = True
+        at = np.flatnonzero(begins)
+        chunks = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data or pa.py_buffer(b""))
+        return chunks, np.searchsorted(at, starts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text; null texts count as empty.
@@ -107,24 +132,21 @@ class ChunkEncoder:
         rows = [t or "" for t in texts]
         alone = [i for i, t in enumerate(rows) if self._special_inside(t) or not self.word_ends and "\0" in t]
         parts = {i: self.cut(rows[i]) for i in alone}
-        split = self._split(["" if i in parts else t for i, t in enumerate(rows)] if parts else rows)
-        numbered = split.flatten().dictionary_encode()
+        chunks, starts = self._split(["" if i in parts else t for i, t in enumerate(rows)] if parts else rows)
+        numbered = chunks.dictionary_encode()
         collecting = gc.isenabled()
         gc.disable()  # many small objects, none in a cycle
         try:
             odd, words, pair = self._atoms(numbered.dictionary)
-            self._remember(set(words), set(odd).union(*parts.values()))
-            coded = list(map(self.known.__getitem__, chain(odd, words)))
+            coded = self._coded([*odd, *words], len(odd), set().union(*parts.values()))
         finally:
             if collecting:
                 gc.enable()
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
-        at = pair[numbered.indices.to_numpy()].ravel()
-        ends = np.append(0, np.cumsum(sizes[at]))
-        # place in flat of every id: where its word or signs begin there, and how far into them it is
-        ids = flat[np.repeat(first[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
-        bounds = ends[2 * split.offsets.to_numpy().astype(np.int64)]
+        # the ids of each distinct chunk, its word's and its signs', then those of all chunks
+        flat, ends = _taken(np.frombuffer(b"".join(coded), "<u4"), np.append(0, np.cumsum(sizes)), pair.ravel())
+        ids, ends = _taken(flat, ends[::2], numbered.indices.to_numpy())
+        bounds = ends[starts]
         get = self.known.__getitem__
         return [b"".join(map(get, parts[i])) if i in parts else ids[a:b].tobytes()
                 for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()))]
@@ -143,7 +165,7 @@ class ChunkEncoder:
         signs = pc.utf8_ltrim(easy, " " + _LETTERS).dictionary_encode()
 
         def listed(strings: pa.Array) -> list:
-            return (strings.cast(pa.large_binary()) if self.word_ends else strings).to_pylist()
+            return (strings.cast(pa.large_binary()) if self.word_ends else strings).to_numpy(zero_copy_only=False).tolist()
 
         odd = [b"" if self.word_ends else "", *listed(chunks.filter(pc.invert(simple)))]
         words = listed(core.dictionary) + listed(signs.dictionary)
@@ -154,23 +176,31 @@ class ChunkEncoder:
         pair[mask, 1] = signs.indices.to_numpy() + (len(odd) + len(core.dictionary))
         return odd, words, pair
 
-    def _remember(self, words: set, odd: set) -> None:
-        """See to it that memory holds these words and signs, and these chunks of any kind."""
-        if len(self.known) + len(words - self.known.keys()) + len(odd - self.known.keys()) > self.limit // 2:
+    def _coded(self, chunks: list, odd: int, more: set) -> list[bytes]:
+        """Ids of chunks, of which the first ``odd`` are of any kind and the others words and signs; memory then holds ``more`` too."""
+        coded = list(map(self.known.get, chunks))
+        fresh = [i for i, c in enumerate(coded) if c is None]
+        if len(self.known) + len(fresh) + len(more - self.known.keys()) > self.limit // 2:
             self.older, self.known = self.known, {}
-        words, odd = (self._not_recalled(w - self.known.keys()) for w in (words, odd))
-        if words or odd:
-            self._learn(words, list(odd))
-
-    def _not_recalled(self, fresh: set) -> set:
+            coded, fresh = [b""] * len(chunks), range(len(chunks))
+        if fresh or more:
+            words = self._not_recalled([chunks[i] for i in fresh if i >= odd])
+            rest = self._not_recalled(list(more.union(chunks[i] for i in fresh if i < odd) - self.known.keys()))
+            if words or rest:
+                self._learn(words, rest)
+            for i in fresh:
+                coded[i] = self.known[chunks[i]]
+        return coded
+
+    def _not_recalled(self, fresh: list) -> list:
         """Chunks that the older generation does not hold either; those it holds come back."""
-        again = fresh & self.older.keys() if self.older else ()
-        if again:
-            self.known.update(zip(again, map(self.older.__getitem__, again)))
-            return fresh - again
-        return fresh
+        if not self.older:
+            return fresh
+        found = list(map(self.older.get, fresh))
+        self.known.update([(w, c) for w, c in zip(fresh, found) if c is not None])
+        return [w for w, c in zip(fresh, found) if c is None]
 
-    def _learn(self, parts: set, chunks: list) -> None:
+    def _learn(self, parts: list, chunks: list) -> None:
         """Plain words are learnt together; chunks with signs behind a word as word and signs; anything else alone."""
         known, mixed = self.known, []
         if self.word_ends:
@@ -195,19 +225,22 @@ class ChunkEncoder:
                 mixed.append((chunk, core, signs))
             else:
                 odd.append(chunk)
-        needed = words.union(parts, (core for _, core, _ in mixed), (signs for _, _, signs in mixed))
-        needed = self._not_recalled(needed - known.keys())
-        self._learn_joined([p for p in needed if self._joins(p)])
-        self._learn_alone([p for p in needed if p not in known])
+        words.update(w for _, core, signs in mixed for w in (core, signs))
+        words = words.difference(parts) if words else words
+        needed = parts + self._not_recalled([w for w in words if w not in known])
+        joining, alone = self._joining(needed)
+        self._learn_alone(alone + self._learn_joined(joining))
         known.update([(c, known[c.lower()]) for c in plain])
         known.update([(c, known[core] + known[signs]) for c, core, signs in mixed if signs])
         self._learn_alone(odd)
 
-    def _joins(self, part) -> bool:
-        """Whether a word can be told from its neighbours by the marks of its pieces."""
+    def _joining(self, parts: list) -> tuple[list, list]:
+        """Words that can be told from their neighbours by the marks of their pieces, and all other parts."""
         if self.word_ends:
-            return part[-1:] >= b"a" and part.isalpha() or part.decode()[-1:].isalpha()
-        return part[:1] == " " and part[-1:].isalpha()
+            told = [p[-1:] >= b"a" and p.isalpha() or p.decode()[-1:].isalpha() for p in parts]
+        else:
+            told = [p[:1] == " " and p[-1:].isalpha() for p in parts]
+        return list(compress(parts, told)), [p for p, t in zip(parts, told) if not t]
 
     def _learn_alone(self, parts: list) -> None:
         self.known.update(zip(parts, self._library([p.decode() if self.word_ends else p for p in parts])))
@@ -216,19 +249,22 @@ class ChunkEncoder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
-    def _learn_joined(self, words: list, at_once: int = 1000) -> None:
-        """Many words in one call; marked pieces tell where each word's ids end."""
+    def _learn_joined(self, words: list, at_once: int = 1000) -> list:
+        """Many words in one call; marked pieces tell where each word's ids end. Returns words for which they do not."""
         groups = [words[i:i + at_once] for i in range(0, len(words), at_once)]
         joined = [b" ".join(g).decode() if self.word_ends else "".join(g) for g in groups]
         coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        left = []
         for group, c in zip(groups, coded, strict=True):
             ids = np.array(c.ids, dtype="<u4")
             marks = np.flatnonzero(self.edge[ids])
             bounds = np.append(0, marks + 1) if self.word_ends else np.append(marks, len(ids))
             if len(bounds) != len(group) + 1 or bounds[0] != 0:
-                continue  # left to the call for single texts
+                left += group
+                continue
             raw, cuts = ids.tobytes(), (bounds * 4).tolist()
-            self.known.update([(w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:])])
+            self.known.update(zip(group, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        return left
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

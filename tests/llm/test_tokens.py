@@ -20,7 +20,7 @@ from spendlens.llm.shared import opened
 from spendlens.llm.token_counts import count_pieces, pre_tokens, token_counts
 from spendlens.llm.token_files import (BLOCK, ShardReader, decode_blocks, encode_blocks, library_encoder, read_token_shards,
                                        write_token_shards)
-from spendlens.llm.tokenizing import ChunkEncoder, batch_slices, encoder
+from spendlens.llm.tokenizing import ChunkEncoder, batch_slices, encoder, spaced_chunks
 
 ALPHABET = " \n\t    abcXYZéßñΣİ'sdt123.,!<|endoftext|></s>́中文🙂\x1c\x85\0▁\xa0"
 SCHEMA = "text string, doc_id long, ids string, length string, start string"
@@ -169,6 +169,22 @@ def test_a_worker_remembers_no_more_chunks_than_it_is_told():
     assert len(encoder(path, 1000).known) + len(encoder(path, 1000).older) <= 1000
 
 
+def test_chunks_are_cut_out_of_the_bytes_of_the_texts():
+    """One copy of the texts holds all chunks, which are those of ``spaced_chunks`` but for empty ones."""
+    coder = ChunkEncoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    whites = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    texts = [t.replace("\0", "") for t in odd_texts()] + ["a b\nc", "\n", " a", "a\n", "\n b", "\ta\tb", "é \u3000x"] + [
+        "".join(rng.choice("aé. \n" + rng.choice(whites)) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    chunks, starts = coder._split(texts)
+    assert chunks.buffers()[2].size <= sum(len(t.encode()) for t in texts) + 64
+    listed = chunks.to_pylist()
+    assert [listed[a:b] for a, b in zip(starts, starts[1:])] == [[c for c in spaced_chunks(t) if c] for t in texts]
+    assert coder.encode([]) == [] and coder.encode(["", None]) == [b"", b""]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_batches_are_cut_by_characters():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["ab", None, "中文é", "", "x"]})
     assert [p.column(0).to_pylist() for p in batch_slices(batch, 1, 3)] == [[1, 2, 3], [4, 5]]
