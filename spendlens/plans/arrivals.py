@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.operators import history
 from spendlens.plans.registry import query
 from spendlens.plans.signals import ALERTS
 from spendlens.session import shared_folder
@@ -114,7 +115,7 @@ def streamed_checks(spark: SparkSession, sf: str) -> DataFrame:
     arrived = spark.read.parquet(f"{home}/facts")
     middle = arrived.groupBy("client_id").agg(F.percentile_approx(F.unix_date("period_date"), 0.5).alias("middle"))
     halves = arrived.join(middle, "client_id").withColumn("later", F.coalesce(F.unix_date("period_date") > F.col("middle"), F.lit(False)))
-    check = arrivals.checks_pipeline(f"{home}/tables", clients, rules)
+    check = arrivals.checks_pipeline(f"{home}/tables", clients, rules, history.stored_uploads(spark, sf))
 
     def store_and_check(batch: DataFrame, batch_id: int) -> None:
         arrivals.write_batch(batch, f"{home}/tables", "campaigns", batch_id, by="client_id")

@@ -137,14 +137,24 @@ def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], che
     return query
 
 
-def checks_pipeline(folder: str, clients: DataFrame, rules: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Alerts and anomalies of the uploads in a batch of fact rows, against all stored history."""
+def checks_pipeline(folder: str, clients: DataFrame, rules: DataFrame, known: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """Alerts and anomalies of the uploads in a batch of fact rows, against all stored history.
+
+    ``known`` (``client_id``, ``upload_id``, ``period_date``) lists uploads that count in the order of
+    a client's uploads even if they hold no facts; what follows such an upload has no prior.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        theirs = current_facts(spark, folder, arrived_clients(batch))
+        of_clients = arrived_clients(batch)
+        theirs = current_facts(spark, folder, of_clients)
         arrived = batch.select("client_id", "upload_id").distinct()
-        uploads = theirs.select("client_id", "upload_id", "period_date").distinct()
+        columns = ["client_id", "upload_id", "period_date"]
+        uploads = theirs.select(*columns).distinct()
+        if known is not None:  # uploads whose period was sent again have facts and stay out
+            listed = known.where(F.col("client_id").isin(*of_clients)).select(*columns)
+            with_facts = stored_facts(spark, folder, of_clients).select("client_id", "upload_id")
+            uploads = uploads.unionByName(listed.join(with_facts, ["client_id", "upload_id"], "left_anti"))
         ranks = stored(history.rank_uploads(uploads).select("client_id", "upload_id", "upload_rank", "upload_count"))
         # only the arrived uploads and the history their checks look back on
         span = ranks.join(arrived, ["client_id", "upload_id"]).groupBy("client_id").agg(

@@ -39,6 +39,24 @@ def test_arrivals_checks_and_replay(spark, tmp_path):
     assert [a["metric"] for a in anomalies] == ["roas"] and anomalies[0]["severity"] == "critical"
 
 
+def test_an_upload_without_facts_is_the_one_before(spark, tmp_path):
+    """Upload 2 holds no campaigns: upload 3 has nothing to be compared with, unless upload 2 is not known of."""
+    schema = ("client_id long, upload_id long, period_start date, period_date date, platform string, campaign_name string, spend double, "
+              "conversions double, conversion_value double, roas double, cac double, ctr double, cpc double, clicks double, impressions double")
+    days = {i: date(2026, i, 1) for i in (1, 2, 3)}
+    rows = [(1, i, days[i], days[i], "google", "a", 10.0 * i**3, 1.0, 900.0, 90.0 / i, 10.0, 1.0, 1.0, 10.0, 1000.0) for i in (1, 3)]
+    clients = spark.createDataFrame([(1, "x", "INR", "{}")], "client_id long, client_name string, currency string, context string")
+    rules = spark.createDataFrame([(1, 2.0, 2.0, None, None, 20.0, "[]")], "client_id long, google_min_roas double, meta_min_roas double, "
+                                  "google_min_cpl double, meta_min_cpl double, max_shift_pct double, type_overrides string")
+    known = spark.createDataFrame([(1, i, d) for i, d in days.items()], "client_id long, upload_id long, period_date date")
+    facts = spark.createDataFrame(rows, schema)
+    for listed, want in ((None, ["spend_overpace"]), (known, [])):
+        tables = str(tmp_path / str(len(want)))
+        arrivals.write_batch(facts, tables, "campaigns", 0, by="client_id")
+        arrivals.checks_pipeline(tables, clients, rules, listed)(facts.where("upload_id = 3"), 0)
+        assert [a["alert_type"] for a in arrivals.stored_table(spark, tables, "kpi_alerts").collect()] == want
+
+
 def test_replace_period(spark):
     stored = spark.createDataFrame([(1, date(2026, 1, 1), "old"), (1, date(2026, 2, 1), "keep")], "client_id int, period_start date, v string")
     incoming = spark.createDataFrame([(1, date(2026, 1, 1), "new")], "client_id int, period_start date, v string")
